@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.session import cut
+from tallyloom.session import cut, discard
 
 
 def graph_counters(graph: DataFrame) -> DataFrame:
@@ -71,8 +71,12 @@ def personalized_pagerank(graph: DataFrame, sources: Sequence[int], iterations:
     """
     graph = cut(graph.select("node_id", "nbrs"))
     ranks = initial_ranks(graph, sources)
+    older = last = None
     for _ in range(iterations):
         mass = cut(arrived(graph, ranks))
+        if older is not None:
+            discard(older)
+        older, last = last, mass
         lost = {r.source_id: r.missing for r in missing_mass(mass).collect()}
         at_source = F.col("node_id") == F.col("source_id")
         back = F.create_map(*[F.lit(x) for s in sources for x in (s, float(lost.get(s, 0.0)))])
@@ -108,7 +112,8 @@ def weak_components(graph: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        links = cut(_small_star(_large_star(links)))
+        last, links = links, cut(_small_star(_large_star(links)))
+        discard(last)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
