@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bitmaps, packing, pairs, relevance, tokenizer, topn, topterms
+from tallyloom.llm import bitmaps, packing, pairs, relevance, sentences, tokenizer, topn, topterms
 from tallyloom.sources import lines_in_force, load, ranks_in_force
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(_packed(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(load(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "p7_round_trip": p7_round_trip,
     "p8_pack": _packed,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
 }
 
 BLANK = "[ \\t\\n\\x0B\\f\\r]"
