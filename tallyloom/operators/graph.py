@@ -45,7 +45,8 @@ def spread(graph: DataFrame, ranks: DataFrame) -> DataFrame:
     Lists and ranks are joined by node, where both sides hold a key once for each source, so no key
     is hot there; a node that many point to is summed on the map side first.
     """
-    sent = ranks.where("pr > 0").join(graph.where(F.size("nbrs") > 0), "node_id")
+    lists = graph.where(F.size("nbrs") > 0).select("node_id", "nbrs")
+    sent = ranks.where("pr > 0").select("node_id", "source_id", "pr").join(lists, "node_id")
     moved = sent.select(F.explode("nbrs").alias("node_id"), "source_id", (F.col("pr") / F.size("nbrs")).alias("share"))
     return moved.groupBy("node_id", "source_id").agg(F.sum("share").alias("mass"))
 

@@ -1,0 +1,47 @@
+"""Every query of the core against its SQL over whole tables of the smallest data."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+from tallyloom.plans import reference
+
+FOLDER = os.environ.get("TALLYLOOM_TEST_DATA", "/root/testdata/sf0.001")
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else f"{value:.9g}"
+    return str(value)
+
+
+def compare(spark, query, sql, folder=FOLDER):
+    df = query(spark, folder)
+    columns = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    db = duckdb.connect()
+    for name in os.listdir(folder):
+        db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{folder}/{name}'")
+    result = db.execute(sql)
+    names = [d[0] for d in result.description]
+    assert columns == sorted(names)
+    at = [names.index(c) for c in columns]
+    assert got == sorted(tuple(plain(r[k]) for k in at) for r in result.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+@pytest.mark.parametrize("name", sorted(reference.ORACLE))
+def test_query_equals_sql(spark, name):
+    compare(spark, reference.QUERIES[name], reference.ORACLE[name])
+
+
+def test_every_query_has_sql():
+    assert set(reference.QUERIES) == set(reference.ORACLE)
+
+
+def test_entry_works_without_optional_parts():
+    import __spark_entry__ as entry
+
+    assert set(reference.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
