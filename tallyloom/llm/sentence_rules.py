@@ -17,7 +17,7 @@ TITLES = {
     "german": "Hr Hrn Fr Frl Dipl Ing Prof Dr St",
     "french": "M MM Mme Mmes Mlle Mlles Mgr Me Pr Dr St Ste",
     "spanish": "Sr Sra Srta Sres Sras Dr Dra D Dña Ud Uds Prof Profa Ing Lic Gral Cap Sto Sta",
-    "russian": "им Им ул г Г д пр пл пер проф Проф акад Акад ген Ген полк Полк тов Тов гр Гр св Св",
+    "russian": "им Им ул г Г пр пл пер проф Проф акад Акад ген Ген полк Полк тов Тов гр Гр св Св",
     "greek": "κ Κ κκ κα δρ Δρ καθ Καθ αγ Αγ",
     "hindi": "डॉ श्री प्रो पं",
 }
@@ -27,7 +27,7 @@ NUMBERED = {
     "german": "Nr Abb Bd Bde S Kap Tab Abs Jh Str",
     "french": "t n p pp no fig chap art",
     "spanish": "pág págs Pág núm cap fig vol",
-    "russian": "стр рис табл гл ч ст т с",
+    "russian": "стр рис табл гл ч ст т с д",
     "greek": "σ σελ αρ τ",
 }
 #: The sentence always goes on.
@@ -122,7 +122,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "thai": [(KEEP, r"\.", r"")],  # only abbreviations have one
     "armenian": [(KEEP, r"\.", r"")],  # has a full stop of its own
     "arabic": [(KEEP, r"(?<![\p{L}\p{M}])\p{Arabic}\.", r"\s*\S")],  # one letter is an abbreviation
-    "indic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,3}\.)+", r"\s*\S")],
+    "indic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,3}\.)+", r"\s*\S"), *_abbreviations("hindi")],
     "ethiopic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,2}\.)+", r"\s*\S")],
     "numbers": [
         (KEEP, r"(?:\A|\n)[^\S\n]*[\ufeff]?\(?(?:\p{N}{1,4}|\p{L}|[ivxIVX]{1,5})\.", r"\s"),  # number of a list

@@ -1,0 +1,67 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from rows import rows
+
+from tallyloom.llm import pairs as P
+
+RECORDS = "docno bigint, items array<string>, item string, n int"
+
+
+def brute(records, least):
+    sets = [{x for x in r if x is not None} for r in records if r and any(x is not None for x in r)]
+    single, both = Counter(x for s in sets for x in s), Counter((x, y) for s in sets for x in s for y in s if x.encode() < y.encode())
+    n, out = len(sets), []
+    for (x, y), c in both.items():
+        if c >= least:
+            cx, cy = single[x], single[y]
+            odds = (c + 0.5) * (n - cx - cy + c + 0.5) / ((cx - c + 0.5) * (cy - c + 0.5))
+            out.append((x, y, c, cx, cy, n, round(math.log10(c * n / (cx * cy)), 9), round(math.log(odds), 9)))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r.x, r.y, r.pairs, r.x_records, r.y_records, r.records, round(r.pmi, 9), round(r.log_odds, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("dictionary", [1000, 0])
+def test_against_brute_force(spark, dictionary, monkeypatch):
+    monkeypatch.setattr(P, "HOT_SHARE", 1 / 20)
+    draw = random.Random(7)
+    words = [chr(97 + k) * 2 for k in range(20)] + ["é", "Z", "\U0001f600", "｡"]
+    records = [draw.choices(words, weights=[30, 20] + [2] * 22, k=draw.randrange(0, 12)) for _ in range(400)]
+    records += [None, [], [None], [None, "aa", "aa", "bb"], ["aa"]] + [["aa", "bb"]] * 200
+    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)], RECORDS)
+    for least in (1, 10):
+        assert found(P.item_pairs(df, least, dictionary)) == brute(records, least)
+
+
+@pytest.mark.parametrize("dictionary", [1000, 0])
+def test_nothing_to_pair(spark, dictionary):
+    for data in ([], [(1, None, "c", 1)], [(1, ["a"], "c", 1), (2, ["a"], "c", 1)]):
+        assert P.item_pairs(spark.createDataFrame(data, RECORDS), 1, dictionary).count() == 0
+    with pytest.raises(ValueError):
+        P.item_pairs(spark.createDataFrame([], RECORDS), 0)
+
+
+def test_very_long_record_in_pieces():
+    values = np.arange(300, dtype=np.int64)
+    codes = np.concatenate(list(P.pair_codes(np.concatenate([values, values[:1], values[:2]]), np.array([300, 1, 2]), most=1000)))
+    assert len(codes) == 300 * 299 // 2 + 1
+    assert Counter(codes.tolist())[1] == 2 and ((codes >> 32) < (codes & 0xFFFFFFFF)).all()
+
+
+def test_runs_across_batches():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["code", "pairs"]) for c, n in (([1, 1, 2], [1, 2, 1]), ([2], [5]), ([], []), ([2, 3], [1, 1]))]
+    merged = [(int(c), int(n)) for cs, ns in P._merged(iter(batches), 2) for c, n in zip(cs, ns)]
+    assert merged == [(1, 3), (2, 7)]
+
+
+def test_lines_become_records(spark):
+    lines = spark.createDataFrame([(1, "b\va  b", 0), (2, None, 0), (3, " ", 0)], "docno bigint, line string, items int")
+    assert rows(P.records_of_lines(lines)) == [(1, ["b", "a", "b"]), (2, []), (3, [])]
