@@ -6,14 +6,12 @@ postings is its number of documents, then gap and count of each posting in turn.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POSTINGS = T.ArrayType(T.StructType([T.StructField("docno", T.LongType()), T.StructField("tf", T.LongType())]))
+LISTS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("docno", "tf")])
 
 
 def encode_varints(values: np.ndarray) -> bytes:
@@ -44,30 +42,25 @@ def decode_varints(data: bytes) -> np.ndarray:
 
 
 @F.pandas_udf(T.BinaryType())
-def encode_postings(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(gaps, tfs) arrays to bytes; null for null."""
-    for gaps, tfs in batches:
-        out = []
-        for gap, tf in zip(gaps, tfs):
-            if gap is None or tf is None:
-                out.append(None)
-                continue
-            flat = np.empty(1 + 2 * len(gap), dtype=np.uint64)
-            flat[0], flat[1::2], flat[2::2] = len(gap), gap, tf
-            out.append(encode_varints(flat))
-        yield pd.Series(out, dtype=object)
+def encode_postings(begin: pd.Series, docnos: pd.Series, tfs: pd.Series) -> pd.Series:
+    """Bytes of lists of ascending docnos and their counts; the first gap is counted from ``begin``. Null for a null list."""
+    out = []
+    for start, docno, tf in zip(begin, docnos, tfs):
+        if docno is None or tf is None:
+            out.append(None)
+            continue
+        flat = np.empty(1 + 2 * len(docno), dtype=np.int64)
+        flat[0], flat[1::2], flat[2::2] = len(docno), np.diff(docno, prepend=start), tf
+        out.append(encode_varints(flat))
+    return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(POSTINGS)
-def decode_postings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes of ``encode_postings`` to (docno, tf) postings; null for null."""
-    for data in batches:
-        out = []
-        for item in data:
-            if item is None:
-                out.append(None)
-                continue
-            flat = decode_varints(bytes(item)).astype(np.int64)
-            docnos = np.cumsum(flat[1::2])
-            out.append([{"docno": int(d), "tf": int(t)} for d, t in zip(docnos, flat[2::2])])
-        yield pd.Series(out, dtype=object)
+@F.pandas_udf(LISTS)
+def decode_postings(begin: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """Arrays of docnos and of counts from the bytes of ``encode_postings``; null for null."""
+    docnos, tfs = [], []
+    for start, item in zip(begin, data):
+        flat = None if item is None else decode_varints(bytes(item)).astype(np.int64)
+        docnos.append(None if flat is None else start + np.cumsum(flat[1::2]))
+        tfs.append(None if flat is None else flat[2::2])
+    return pd.DataFrame({"docno": docnos, "tf": tfs})

@@ -7,33 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.tokens import tokens
+from tallyloom.operators.numbering import numbered, sized
+from tallyloom.operators.skew import lookup
 from tallyloom.operators.wordcount import line_frequency, word_count
+from tallyloom.session import cut
 
-#: Largest dictionary, in terms, that a join may broadcast (some 100 bytes a term in memory).
-BROADCAST_TERMS = 500_000
 
+def dictionary(lines: DataFrame, min_count: int, style: str = "java") -> DataFrame:
+    """(term, df, code): the terms in at least ``min_count`` lines, numbered in the order of code points; a written table."""
+    return numbered(line_frequency(lines, style).where(F.col("df") >= min_count), "term")
 
-def sized(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it has at most ``limit`` rows, else as it is."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+
+def _coded_pairs(lines: DataFrame, terms: DataFrame, min_count: int, style: str) -> DataFrame:
+    """(x_code, y_code, pairs), x_code < y_code.
+
+    A line becomes the ascending numbers of its frequent terms, and a pair one 64-bit number, before the shuffle that
+    counts. No line is joined with another: its pairs come from its own array.
+    """
+    found = lines.select("docno", F.explode(F.array_distinct(tokens(F.col("line"), style))).alias("term"))
+    held = lookup(found, terms.select("term", "df", "code"), "term", "df").groupBy("docno").agg(F.sort_array(F.collect_list("code")).alias("t"))
+    left = held.select("t", F.posexplode("t").alias("i", "x")).select("x", F.slice("t", F.col("i") + 2, F.size("t")).alias("rest"))
+    codes = left.select("x", F.explode("rest").alias("y")).select(F.shiftleft("x", 32).bitwiseOR(F.col("y")).alias("c"))
+    counted = codes.groupBy("c").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= min_count)
+    return counted.select(F.shiftright("c", 32).alias("x_code"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y_code"), "pairs")
+
+
+def _named(coded: DataFrame, terms: DataFrame, *values: str) -> DataFrame:
+    """Pairs of codes with the terms and ``values`` of either side, prefixed by x_ and y_."""
+    for side in ("x", "y"):
+        names = [F.col("code").alias(f"{side}_code"), F.col("term").alias(side), *[F.col(v).alias(f"{side}_{v}") for v in values]]
+        coded = coded.join(terms.select(*names), f"{side}_code")
+    return coded
 
 
 def pair_counts(lines: DataFrame, min_count: int = 10, style: str = "java") -> DataFrame:
     """(x, y, pairs): x < y by code points and the number of lines that hold both, if at least ``min_count``.
 
-    ``lines`` (docno, line) has one row for each docno; null and blank lines hold nothing.
-
-    A pair can only reach ``min_count`` if both its terms do, so the others leave the lines before any pair is
-    made. No line is joined with another: its pairs come from its own array of terms.
+    ``lines`` (docno, line) has one row for each docno; null and blank lines hold nothing. A pair can only reach ``min_count`` if both its
+    terms do, so the others leave the lines before any pair is made.
     """
-    kept = line_frequency(lines, style).where(F.col("df") >= min_count).select("term")
-    found = lines.select("docno", F.explode(F.array_distinct(tokens(F.col("line"), style))).alias("term"))
-    held = found.join(sized(kept), "term").groupBy("docno").agg(F.sort_array(F.collect_list("term")).alias("t"))
-    pairs = held.select(
-        F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x AS x, y AS y))))")).alias("p")
-    )
-    return pairs.groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= min_count)
+    terms = dictionary(lines, min_count, style)
+    return _named(_coded_pairs(lines, terms, min_count, style), sized(terms)).select("x", "y", "pairs")
 
 
 def pmi(lines: DataFrame, min_count: int = 10, marginals: str = "df", style: str = "java") -> DataFrame:
@@ -44,14 +58,14 @@ def pmi(lines: DataFrame, min_count: int = 10, marginals: str = "df", style: str
     """
     if marginals not in ("df", "cf"):
         raise ValueError(f"marginals must be df or cf, not {marginals!r}")
-    counts = line_frequency(lines, style) if marginals == "df" else word_count(lines, style).withColumnRenamed("count", "df")
-    counts = sized(counts.where(F.col("df") >= min_count))
+    terms = dictionary(lines, min_count, style)
+    if marginals == "cf":
+        counts = word_count(lines, style).select("term", F.col("count").alias("cf"))
+        terms = cut(terms.join(counts, "term"))
     total = lines.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    pairs = pair_counts(lines, min_count, style)
-    both = pairs.join(counts.select(F.col("term").alias("x"), F.col("df").alias("cx")), "x").join(
-        counts.select(F.col("term").alias("y"), F.col("df").alias("cy")), "y"
-    )
-    return both.select("x", "y", "pairs", F.log10((F.col("pairs") / total) / ((F.col("cx") / total) * (F.col("cy") / total))).alias("pmi"))
+    both = _named(_coded_pairs(lines, terms, min_count, style), sized(terms), marginals)
+    cx, cy = F.col(f"x_{marginals}"), F.col(f"y_{marginals}")
+    return both.select("x", "y", "pairs", F.log10((F.col("pairs") / total) / ((cx / total) * (cy / total))).alias("pmi"))
 
 
 def stripes(scored: DataFrame, value: str = "pmi") -> DataFrame:

@@ -1,18 +1,20 @@
 """Inverted index: long postings, lists, gaps, look-up and histogram.
 
 The long form (term, docno, tf) is the index proper: it has no rows that grow with a term's
-frequency. Lists are built from it for presentation only.
+frequency. Lists are cut into blocks of docnos, so that no row grows with it either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.codec import decode_postings, encode_postings
 from tallyloom.functions.tokens import tokens
 
+BLOCK_BITS = 16
+
 
 def postings(lines: DataFrame, style: str = "blanks") -> DataFrame:
     """(term, docno, tf): occurrences of each term in each document. Lines without a docno are left out."""
@@ -25,35 +27,44 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def _block() -> Column:
+    return F.shiftright("docno", BLOCK_BITS)
+
+
 def postings_lists(index: DataFrame) -> DataFrame:
-    """(term, df, postings): one list for each term in the order of docno."""
-    lists = index.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
-    return lists.select("term", F.size("postings").cast("bigint").alias("df"), "postings")
+    """(term, block, docs, postings): lists in the order of docno, one for each term and block of 65,536 docnos.
 
+    The list of a term in very many documents is never whole in one row or task; its df is the sum of ``docs``.
+    """
+    lists = index.groupBy("term", _block().alias("block")).agg(F.sort_array(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
+    return lists.select("term", "block", F.size("postings").cast("bigint").alias("docs"), "postings")
 
-def gaps(index: DataFrame) -> DataFrame:
-    """(term, docno, gap, tf): distance to the term's previous docno, for the first one the docno itself."""
-    order = Window.partitionBy("term").orderBy("docno")
-    return index.select("term", "docno", (F.col("docno") - F.coalesce(F.lag("docno").over(order), F.lit(0))).alias("gap"), "tf")
 
+def gaps(index: DataFrame) -> DataFrame:
+    """(term, docno, gap, tf): distance to the term's previous docno, for the first one the docno itself.
 
-def ungap(gapped: DataFrame) -> DataFrame:
-    """(term, docno, tf) again from gaps in their order."""
-    order = Window.partitionBy("term").orderBy("docno").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.select("term", F.sum("gap").over(order).alias("docno"), "tf")
+    Sorting is by term and block, so a hot term is spread; the last docno before a block comes from one row for each block.
+    """
+    blocks = index.groupBy("term", _block().alias("block")).agg(F.max("docno").alias("last"))
+    before = blocks.select("term", "block", F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    inside = Window.partitionBy("term", "block").orderBy("docno")
+    rows = index.select("term", "docno", "tf", _block().alias("block")).withColumn("previous", F.lag("docno").over(inside))
+    return rows.join(before, ["term", "block"]).select("term", "docno", (F.col("docno") - F.coalesce("previous", "before")).alias("gap"), "tf")
 
 
 def compressed(index: DataFrame) -> DataFrame:
-    """(term, df, data): each list as variable-length bytes of gaps and counts; docnos must not be negative."""
+    """(term, block, docs, data): each list as variable-length bytes of its gaps, counted from the block's begin, and counts."""
     lists = postings_lists(index)
-    docnos = F.col("postings.docno")
-    gap = F.transform(docnos, lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.element_at(docnos, F.when(i == 0, F.lit(1)).otherwise(i))))
-    return lists.select("term", "df", encode_postings(gap, F.col("postings.tf")).alias("data"))
+    begin = F.shiftleft("block", BLOCK_BITS)
+    return lists.select("term", "block", "docs", encode_postings(begin, F.col("postings.docno"), F.col("postings.tf")).alias("data"))
 
 
 def decompressed(data: DataFrame) -> DataFrame:
     """(term, docno, tf) of ``compressed``."""
-    return data.select("term", F.explode(decode_postings("data")).alias("p")).select("term", "p.docno", "p.tf")
+    begin = F.shiftleft("block", BLOCK_BITS)
+    lists = data.select("term", decode_postings(begin, F.col("data")).alias("p"))
+    pairs = F.arrays_zip(F.col("p.docno").alias("docno"), F.col("p.tf").alias("tf"))
+    return lists.select("term", F.inline(pairs))
 
 
 def lookup(index: DataFrame, term: str) -> DataFrame:

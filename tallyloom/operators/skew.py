@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.numbering import BROADCAST_ROWS
 from tallyloom.session import cut
 
+#: A key with at least this share of the rows is attached by broadcast; there can be 2,048 at most.
+HOT_SHARE = 1 / 2048
+
 
 def per_term(index: DataFrame) -> DataFrame:
     """(term, entries, tf): the number of documents and the sum of tf of each term.
@@ -43,3 +47,25 @@ def heavy_keys(results: DataFrame, share: float, entries: str = "entries") -> Da
     results = cut(results)
     total = results.agg(F.coalesce(F.sum(entries), F.lit(0)).alias("n")).scalar()
     return results.where(F.col(entries) / F.nullif(total, F.lit(0)) >= share)
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each key and in ``count`` how many of the ``total`` rows have it.
+
+    Keys with a noticeable share of the rows, a bounded number of them, come by broadcast, so that their rows stay where
+    they are; the rest by a shuffle in which no key is large. Rows whose key has no facts are left out.
+    """
+    hot = F.col(count) >= total * HOT_SHARE
+    names = [c for c in facts.columns if c != key]
+    marked = rows.join(F.broadcast(facts.where(hot).withColumn("_hot", F.lit(True))), key, "left")
+    done = marked.where("_hot").drop("_hot")
+    rest = marked.where("_hot IS NULL").drop("_hot", *names).join(facts.where(~hot), key)
+    return done.unionByName(rest)
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, count: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``attach`` for written ``facts``: broadcast as a whole if a count shows that they have at most ``limit`` rows."""
+    size = facts.agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("total")).first()
+    if size.n <= limit:
+        return rows.join(F.broadcast(facts), key)
+    return attach(rows, facts, key, count, size.total)

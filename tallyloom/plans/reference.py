@@ -77,7 +77,7 @@ def _boolean(query: str, snippet: int | None = None) -> Query:
 
 def _compressed_size(spark: SparkSession, folder: str) -> DataFrame:
     data = invindex.compressed(_index(spark, folder))
-    return data.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("entries"), F.sum(F.length("data").cast("bigint")).alias("bytes"))
+    return data.agg(F.count(F.lit(1)).alias("lists"), F.sum("docs").alias("entries"), F.sum(F.length("data").cast("bigint")).alias("bytes"))
 
 
 QUERIES: dict[str, Query] = {
@@ -97,7 +97,7 @@ QUERIES: dict[str, Query] = {
     "q14_top_pair": lambda s, d: cooccur.top_pair(cooccur.pmi(_lines(s, d))),
     "q15_top_partners": lambda s, d: cooccur.top_partners(cooccur.pmi(_lines(s, d)), WORDS),
     "q16_postings": _index,
-    "q17_document_frequency": lambda s, d: invindex.postings_lists(_index(s, d)).select("term", "df"),
+    "q17_document_frequency": lambda s, d: invindex.postings_lists(_index(s, d)).groupBy("term").agg(F.sum("docs").alias("df")),
     "q18_gaps": lambda s, d: invindex.gaps(_index(s, d)),
     "q19_gap_round_trip": lambda s, d: invindex.decompressed(invindex.compressed(_index(s, d))),
     "q20_lookup": lambda s, d: invindex.lookup(_index(s, d), "king"),
@@ -230,11 +230,12 @@ ORACLE: dict[str, str] = {
     "q19_gap_round_trip": f"{POSTINGS} SELECT * FROM idx",
     "q20_lookup": f"{POSTINGS} SELECT docno, tf FROM idx WHERE term = 'king'",
     "q21_tf_histogram": f"{POSTINGS} SELECT term, tf, count(*) AS docs FROM idx WHERE term IN ({WORD_LIST}) GROUP BY term, tf",
-    "q22_compressed_size": f"""{POSTINGS}, g AS (SELECT term, docno - lag(docno, 1, 0) OVER (PARTITION BY term ORDER BY docno) AS gap, tf FROM idx),
-      width AS (SELECT unnest(range(1, 11)) AS w),
-      sizes AS (SELECT term, greatest(1, ceil(length(ltrim(gap::UBIGINT::BIT::VARCHAR, '0')) / 7.0))::BIGINT + greatest(1, ceil(length(ltrim(tf::UBIGINT::BIT::VARCHAR, '0')) / 7.0))::BIGINT AS n FROM g),
-      heads AS (SELECT term, greatest(1, ceil(length(ltrim(count(*)::UBIGINT::BIT::VARCHAR, '0')) / 7.0))::BIGINT AS n, count(*) AS df FROM idx GROUP BY term)
-      SELECT (SELECT count(*) FROM heads) AS terms, (SELECT sum(df)::BIGINT FROM heads) AS entries, ((SELECT sum(n) FROM sizes) + (SELECT sum(n) FROM heads))::BIGINT AS bytes""",
+    "q22_compressed_size": f"""{POSTINGS}, b AS (SELECT *, docno >> 16 AS block FROM idx),
+      g AS (SELECT docno - lag(docno, 1, block * 65536) OVER (PARTITION BY term, block ORDER BY docno) AS gap, tf FROM b),
+      heads AS (SELECT count(*) AS docs FROM b GROUP BY term, block),
+      numbers AS (SELECT gap AS v FROM g UNION ALL SELECT tf FROM g UNION ALL SELECT docs FROM heads)
+      SELECT (SELECT count(*) FROM heads) AS lists, (SELECT sum(docs)::BIGINT FROM heads) AS entries,
+        (SELECT sum(CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 ELSE 4 END)::BIGINT FROM numbers) AS bytes""",
     "q23_boolean_and": _flags("%the% AND %and%"),
     "q24_boolean_and_rare": _flags("%king% AND %temple%"),
     "q25_boolean_and_unknown": _flags("%the% AND %no-such-term%"),

@@ -89,16 +89,36 @@ def test_index(spark):
     index = invindex.postings(data)
     assert rows(index) == [("x", 0, 1), ("x", 42, 2), ("y", 15, 1), ("y", 42, 1)]
     assert rows(invindex.document_frequency(index)) == [("x", 2, 3), ("y", 2, 2)]
-    assert [(r.term, r.df, [tuple(p) for p in r.postings]) for r in invindex.postings_lists(index).orderBy("term").collect()] == [("x", 2, [(0, 1), (42, 2)]), ("y", 2, [(15, 1), (42, 1)])]
+    lists = invindex.postings_lists(index).orderBy("term", "block").collect()
+    assert [(r.term, r.block, r.docs, [tuple(p) for p in r.postings]) for r in lists] == [("x", 0, 2, [(0, 1), (42, 2)]), ("y", 0, 2, [(15, 1), (42, 1)])]
     assert rows(invindex.gaps(index), "term", "gap") == [("x", 0), ("x", 42), ("y", 15), ("y", 27)]
-    gapped = invindex.gaps(index).select("term", "docno", "gap", "tf")
-    assert rows(invindex.ungap(gapped)) == rows(index)
     assert rows(invindex.decompressed(invindex.compressed(index))) == rows(index)
     assert rows(invindex.lookup(index, "nope")) == []
     assert rows(invindex.tf_histogram(index, ["x", "nope"])) == [("x", 1, 1), ("x", 2, 1)]
     assert rows(invindex.postings_lists(index.limit(0))) == []
 
 
+def test_lists_in_many_blocks(spark):
+    docnos = [-70000, -65536, -1, 0, 65535, 65536, 10**12]
+    index = spark.createDataFrame([("t", d, 1 + k) for k, d in enumerate(docnos)], "term string, docno bigint, tf bigint")
+    assert rows(invindex.gaps(index), "docno", "gap") == [(d, d - p) for d, p in zip(docnos, [0, *docnos])]
+    assert rows(invindex.decompressed(invindex.compressed(index))) == rows(index)
+    assert rows(invindex.postings_lists(index).groupBy("term").sum("docs")) == [("t", 7)]
+    assert max(r.docs for r in invindex.postings_lists(index).collect()) == 2
+
+
+def test_numbering(spark):
+    from tallyloom.operators.numbering import numbered, sized
+
+    words = [chr(0x61 + k % 26) + str(k) for k in range(500)] + ["é", "\U0001f600", "｡"]
+    found = numbered(spark.createDataFrame([(w, 1) for w in words], "term string, n int").repartition(7), "term")
+    assert [r.term for r in found.orderBy("code").collect()] == sorted(words, key=str.encode)
+    assert [r.code for r in found.orderBy("code").collect()] == list(range(503))
+    assert rows(numbered(found.limit(0).drop("code"), "term")) == []
+    assert "broadcast" in sized(found)._jdf.queryExecution().toString().lower()
+    assert "strategy=broadcast" not in sized(found, limit=5)._jdf.queryExecution().toString()
+
+
 def test_varints():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**32, 2**63 - 1, 2**64 - 1], dtype=np.uint64)
     assert (decode_varints(encode_varints(values)) == values).all()

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from rows import rows
 
@@ -41,6 +42,16 @@ def test_heavy_keys(spark):
     assert rows(skew.per_node(graph.limit(0))) == []
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_lookup_splits_hot_keys(spark, limit, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.3)
+    data = spark.createDataFrame([("hot", k) for k in range(60)] + [("warm", k) for k in range(30)] + [(f"c{k}", k) for k in range(10)] + [(None, 1), ("unknown", 1)], "term string, v int")
+    facts = spark.createDataFrame([("hot", 60, 1), ("warm", 30, 2), *[(f"c{k}", 1, 3) for k in range(10)]], "term string, n int, code int")
+    found = skew.lookup(data, facts, "term", "n", limit)
+    assert found.count() == 100 and rows(found.where("term = 'hot'").select("code").distinct()) == [(1,)]
+    assert rows(found.groupBy("term").count()) == rows(facts, "term", "n")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", 1), ("a", None)], "term string, n int")
     for _ in range(2):
