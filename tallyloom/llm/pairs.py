@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.tokens import tokens
+from tallyloom.operators.numbering import numbered
+from tallyloom.operators.skew import attach
 from tallyloom.session import cut
 
 #: Codes in one sorted run: 16 MB.
 RUN = 1 << 21
 #: Largest dictionary, in items, that goes to every task; beyond it items are numbered by joins.
 DICTIONARY_ITEMS = 400_000
-#: Items with at least this share of all occurrences are joined apart; there can be 4,096 of them at most.
-HOT_SHARE = 1 / 4096
 #: Numbers of items must fit into half a code.
 MAX_ITEMS = 1 << 31
 
@@ -144,7 +144,6 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     """
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
-    spark = records.sparkSession
     held = records.select("docno", F.filter("items", lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
     # one pass for both: the null at the end of each record counts the records
     counted = held.select(F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(
@@ -159,7 +158,7 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     if size <= dictionary_items:
         named = _by_dictionary(held, frequent, min_count)
     else:
-        named = _by_joins(spark, held, frequent, min_count)
+        named = _by_joins(held, frequent, min_count)
     n, c, cx, cy = F.lit(float(total)), *(F.col(k).cast("double") for k in ("pairs", "x_records", "y_records"))
     half = F.lit(0.5)
     odds = (c + half) * (n - cx - cy + c + half) / ((cx - c + half) * (cy - c + half))
@@ -192,25 +191,12 @@ def _by_dictionary(held: DataFrame, frequent: DataFrame, min_count: int) -> Data
     return _counted(runs).mapInArrow(name, "x string, y string, pairs bigint, x_records bigint, y_records bigint")
 
 
-def _by_joins(spark, held: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
+def _by_joins(held: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
     """The dictionary stays a table; the few items that hold much of all occurrences are joined apart."""
-    ordered = frequent.repartitionByRange("item").sortWithinPartitions("item")
-    place = F.monotonically_increasing_id()
-    placed = cut(ordered.select("item", "n", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
-    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    begin, offsets = 0, []
-    for part in sorted(sizes):
-        offsets += [F.lit(part), F.lit(begin)]
-        begin += sizes[part]
-    coded = placed.select("item", "n", (F.col("row") + F.create_map(*offsets)[F.col("part")]).alias("code"))
-    occurrences = placed.agg(F.sum("n").alias("n")).first().n
-    hot = F.broadcast(coded.where(F.col("n") >= occurrences * HOT_SHARE).select("item", "code"))
-    rest = coded.where(F.col("n") < occurrences * HOT_SHARE).select("item", "code")
-    each = held.select("docno", F.explode(F.array_distinct("items")).alias("item")).join(hot, "item", "left")
-    numbered = each.where("code IS NOT NULL").select("docno", "code").union(
-        each.where("code IS NULL").select("docno", "item").join(rest, "item").select("docno", "code")
-    )
-    lists = numbered.groupBy("docno").agg(F.sort_array(F.collect_list("code")).alias("items"))
+    coded = numbered(frequent, "item")
+    occurrences = coded.agg(F.sum("n").alias("n")).first().n
+    each = held.select("docno", F.explode(F.array_distinct("items")).alias("item"))
+    lists = attach(each, coded, "item", "n", occurrences).groupBy("docno").agg(F.sort_array(F.collect_list("code")).alias("items"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sorted_runs(_lists(b) for b in batches)

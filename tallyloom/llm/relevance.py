@@ -14,22 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.operators.skew import attach
 from tallyloom.session import cut
 from tallyloom.sources.tables import postings_in_force
 
-#: A key with at least this share of the rows is attached by broadcast; there can be 2,048 at most.
-HOT_SHARE = 1 / 2048
-
-
-def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``facts``, which has one row for each key and in ``count`` the key's rows of ``total``."""
-    hot = F.col(count) >= total * HOT_SHARE
-    names = [c for c in facts.columns if c != key]
-    marked = rows.join(F.broadcast(facts.where(hot).withColumn("_hot", F.lit(True))), key, "left")
-    done = marked.where("_hot").drop("_hot")
-    rest = marked.where("_hot IS NULL").drop("_hot", *names).join(facts.where(~hot), key)
-    return done.unionByName(rest)
-
 
 def score_terms(postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(docno, term, tf, df, doc_length, records, bm25, tf_idf) of each posting in force of (term, docno, tf, written_at).

@@ -8,6 +8,7 @@ from rows import rows
 
 from tallyloom.llm import bitmaps as B
 from tallyloom.llm import relevance, topterms
+from tallyloom.operators import skew
 
 COUNTS = "term string, cell_count bigint, total int, item int"
 POSTINGS = "term string, docno bigint, tf bigint, written_at timestamp_ntz, df int, block int"
@@ -86,7 +87,7 @@ def test_no_postings(spark):
 
 @pytest.mark.parametrize("hot", [1 / 2048, 0.05])
 def test_scores_against_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(relevance, "HOT_SHARE", hot)
+    monkeypatch.setattr(skew, "HOT_SHARE", hot)
     df, truth = postings(spark)
     lengths, docs = defaultdict(int), defaultdict(dict)
     for t, d in truth.items():

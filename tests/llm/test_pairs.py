@@ -7,6 +7,7 @@ import pytest
 from rows import rows
 
 from tallyloom.llm import pairs as P
+from tallyloom.operators import skew
 
 RECORDS = "docno bigint, items array<string>, item string, n int"
 
@@ -29,7 +30,7 @@ def found(df):
 
 @pytest.mark.parametrize("dictionary", [1000, 0])
 def test_against_brute_force(spark, dictionary, monkeypatch):
-    monkeypatch.setattr(P, "HOT_SHARE", 1 / 20)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1 / 20)
     draw = random.Random(7)
     words = [chr(97 + k) * 2 for k in range(20)] + ["é", "Z", "\U0001f600", "｡"]
     records = [draw.choices(words, weights=[30, 20] + [2] * 22, k=draw.randrange(0, 12)) for _ in range(400)]
