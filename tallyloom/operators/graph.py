@@ -26,6 +26,26 @@ def graph_counters(graph: DataFrame) -> DataFrame:
     )
 
 
+def require_unique_nodes(graph: DataFrame) -> DataFrame:
+    """``graph`` itself, if no node has two rows; else ValueError."""
+    twice = graph.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"nodes with several rows, such as {[r.node_id for r in twice]}")
+    return graph
+
+
+def message_counters(graph: DataFrame) -> DataFrame:
+    """One row about a round of PageRank: shares sent, nodes and unknown ids that get any, shares lost to unknown ids."""
+    sent = graph.select(F.explode("nbrs").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    known = sent.join(graph.select("node_id", F.lit(True).alias("known")), "node_id", "left")
+    return known.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("messages"),
+        F.count("known").alias("receivers"),
+        F.count(F.when(F.col("known").isNull(), 1)).alias("missing_nodes"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("lost_messages"),
+    )
+
+
 def dangling(graph: DataFrame) -> DataFrame:
     """(node_id) of the nodes without out-edges."""
     return graph.where(F.size("nbrs") == 0).select("node_id")
@@ -63,6 +83,14 @@ def missing_mass(mass: DataFrame) -> DataFrame:
     return mass.groupBy("source_id").agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("mass")).alias("missing"))
 
 
+def _next_ranks(mass: DataFrame, sources: Sequence[int], jump: float) -> DataFrame:
+    lost = {r.source_id: r.missing for r in missing_mass(mass).collect()}
+    at_source = F.col("node_id") == F.col("source_id")
+    back = F.create_map(*[F.lit(x) for s in sources for x in (s, float(lost.get(s, 0.0)))])
+    restart = jump + (1 - jump) * (F.col("mass") + back[F.col("source_id")])
+    return mass.select("node_id", "source_id", F.when(at_source, restart).otherwise((1 - jump) * F.col("mass")).alias("pr"))
+
+
 def personalized_pagerank(graph: DataFrame, sources: Sequence[int], iterations: int = 20, jump: float = 0.15) -> DataFrame:
     """(node_id, source_id, pr) after ``iterations``; the ranks of a source sum to 1.
 
@@ -78,17 +106,33 @@ def personalized_pagerank(graph: DataFrame, sources: Sequence[int], iterations:
         if older is not None:
             discard(older)
         older, last = last, mass
-        lost = {r.source_id: r.missing for r in missing_mass(mass).collect()}
-        at_source = F.col("node_id") == F.col("source_id")
-        back = F.create_map(*[F.lit(x) for s in sources for x in (s, float(lost.get(s, 0.0)))])
-        ranks = mass.select(
-            "node_id",
-            "source_id",
-            F.when(at_source, jump + (1 - jump) * (F.col("mass") + back[F.col("source_id")])).otherwise((1 - jump) * F.col("mass")).alias("pr"),
-        )
+        ranks = _next_ranks(mass, sources, jump)
     return ranks
 
 
+def pagerank_to_convergence(graph: DataFrame, source: int, jump: float = 0.15, tolerance: float = 1e-9, max_iterations: int = 500) -> DataFrame:
+    """(node_id, source_id, pr) once no rank moves by more than ``tolerance``.
+
+    Nodes without any link in or out are left out. Raises ValueError if the source is not among the others, RuntimeError if
+    ``max_iterations`` do not do.
+    """
+    linked = graph.select(F.explode("nbrs").alias("node_id")).union(graph.where(F.size("nbrs") > 0).select("node_id")).distinct()
+    # an element without a row of its own is a node here too: its list is empty
+    none = F.expr("array()").cast("array<bigint>")
+    graph = cut(linked.join(graph.select("node_id", "nbrs"), "node_id", "left").select("node_id", F.coalesce("nbrs", none).alias("nbrs")))
+    if graph.where(F.col("node_id") == source).isEmpty():
+        raise ValueError(f"{source} is not in the graph")
+    ranks = initial_ranks(graph, [source])
+    for _ in range(max_iterations):
+        mass = cut(arrived(graph, ranks))
+        after = _next_ranks(mass, [source], jump)
+        moved = after.join(ranks.withColumnRenamed("pr", "before"), ["node_id", "source_id"]).agg(F.max(F.abs(F.col("pr") - F.col("before"))).alias("m")).first().m
+        ranks = after
+        if moved <= tolerance:
+            return ranks
+    raise RuntimeError(f"ranks still move after {max_iterations} iterations")
+
+
 def top_nodes(ranks: DataFrame, n: int = 10, digits: int = 9) -> DataFrame:
     """(source_id, rank, node_id, pr): the ``n`` highest ranks of each source, equal ones by node_id.
 
@@ -99,6 +143,11 @@ def top_nodes(ranks: DataFrame, n: int = 10, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("source_id", "rank", "node_id", "pr")
 
 
+def rank_lines(top: DataFrame) -> DataFrame:
+    """(source_id, rank, line): ranks as text, five decimals and the node."""
+    return top.select("source_id", "rank", F.format_string("%.5f %d", "pr", "node_id").alias("line"))
+
+
 def weak_components(graph: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node_id, component): the smallest id that can be reached ignoring directions; neighbours without a row count.
 

@@ -1,4 +1,4 @@
-"""Sinks: text, columnar files, sorted indexes, tables. All overwrite what is there."""
+"""Sinks: text, columnar files, sorted indexes, tables. All but one overwrite what is there."""
 
 from __future__ import annotations
 
@@ -27,3 +27,8 @@ def write_table(df: DataFrame, name: str, key: str | None = None, buckets: int =
     if key:
         writer = writer.bucketBy(buckets, key).sortBy(key)
     writer.saveAsTable(name)
+
+
+def write_key_values(df: DataFrame, path: str) -> None:
+    """Two columns without nulls as Hadoop sequence files, for readers that know no columnar files. Fails if ``path`` exists."""
+    df.rdd.map(tuple).saveAsSequenceFile(path)

@@ -75,6 +75,12 @@ def _boolean(query: str, snippet: int | None = None) -> Query:
     return run
 
 
+def _posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as posts of text fields, dates in the form of a feed."""
+    date = F.date_format("ts", "EEE MMM d HH:mm:ss '+0000' yyyy").alias("date")
+    return _events(spark, folder).select(F.col("event_id").cast("string").alias("post_id"), F.col("user_id").cast("string").alias("user_id"), date, F.col("event_type").alias("text"))
+
+
 def _compressed_size(spark: SparkSession, folder: str) -> DataFrame:
     data = invindex.compressed(_index(spark, folder))
     return data.agg(F.count(F.lit(1)).alias("lists"), F.sum("docs").alias("entries"), F.sum(F.length("data").cast("bigint")).alias("bytes"))
@@ -113,6 +119,10 @@ QUERIES: dict[str, Query] = {
     "q34_pagerank_top": lambda s, d: graph.top_nodes(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS)),
     "q35_partition_sizes": _partition_sizes,
     "q36_weak_components": lambda s, d: graph.weak_components(_graph(s, d)),
+    "q37_hourly_posts": lambda s, d: timebucket.hourly_posts(_posts(s, d)),
+    "q38_hourly_posts_filtered": lambda s, d: timebucket.hourly_posts(_posts(s, d), ".*(?i:view|error).*"),
+    "q39_message_counters": lambda s, d: graph.message_counters(_graph(s, d)),
+    "q40_rank_lines": lambda s, d: graph.rank_lines(graph.top_nodes(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS))),
     "p4_found": lambda s, d: p4_found(s, d),
     "p4_terms": lambda s, d: skew.per_term(postings_in_force(load(s, d, "postings"))),
     "p4_nodes": lambda s, d: skew.per_node(_graph(s, d)),
@@ -256,6 +266,15 @@ ORACLE: dict[str, str] = {
       SELECT 'range', (((floor(node_id::DOUBLE / 200000000.0 * {PARTS})::BIGINT % {PARTS}) + {PARTS}) % {PARTS})::INT FROM lists)
       SELECT scheme, part, count(*) AS nodes FROM p GROUP BY scheme, part""",
     "q36_weak_components": _components(),
+    "q37_hourly_posts": f'SELECT {MD}, {HH}, count(*) AS "count" FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2',
+    "q38_hourly_posts_filtered": f"""SELECT {MD}, {HH}, count(*) AS "count" FROM events
+      WHERE ts IS NOT NULL AND event_id IS NOT NULL AND user_id IS NOT NULL AND regexp_matches(event_type, '(?i)view|error') GROUP BY 1, 2""",
+    "q39_message_counters": f"""WITH {GRAPH}, t AS (SELECT dst, count(*) AS n, dst IN (SELECT node_id FROM lists) AS known FROM edges GROUP BY dst)
+      SELECT sum(n)::BIGINT AS messages, count(*) FILTER (known) AS receivers, count(*) FILTER (NOT known) AS missing_nodes,
+        coalesce(sum(n) FILTER (NOT known), 0)::BIGINT AS lost_messages FROM t""",
+    "q40_rank_lines": f"""{_pagerank(ROUNDS)} SELECT source_id, rank, printf('%.5f %d', pr, node_id) AS line FROM (
+      SELECT source_id, node_id, pr, row_number() OVER (PARTITION BY source_id ORDER BY pr DESC, node_id)::INT AS rank
+      FROM (SELECT node_id, source_id, round(pr, 9) AS pr FROM r{ROUNDS})) WHERE rank <= 10""",
     "p4_found": f"""WITH {IN_FORCE}, {GRAPH},
       t AS (SELECT term, count(*) AS n FROM post GROUP BY term), e AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst)
       SELECT 'term' AS key_kind, term AS key_text FROM t WHERE 100 * n >= (SELECT sum(n) FROM t)

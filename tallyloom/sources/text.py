@@ -51,3 +51,8 @@ def tweets_tsv(spark: SparkSession, path: str) -> DataFrame:
     """
     fields = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 4)
     return fields.select(*[F.col("f")[i].alias(s.name) for i, s in enumerate(POST_SCHEMA)])
+
+
+def key_value_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The pairs of Hadoop sequence files of writable keys and values as two columns of ``schema``; files whose name begins with _ are skipped."""
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), schema)

@@ -51,6 +51,27 @@ def test_unknown_and_repeated_sources(spark):
         G.personalized_pagerank(data, [1, 1], 1)
 
 
+def test_convergence(spark):
+    lists = {1: [2, 3], 2: [3], 3: [1], 4: [], 5: [99]}
+    nodes = {n: v for n, v in lists.items() if n != 4} | {99: []}
+    for source in (1, 5):
+        got = {r.node_id: r.pr for r in G.pagerank_to_convergence(make(spark, lists), source, jump=0.6, tolerance=1e-6).collect()}
+        assert got == pytest.approx(brute(nodes, source, 100, 0.6), abs=1e-5)
+    with pytest.raises(ValueError):
+        G.pagerank_to_convergence(make(spark, lists), 4)
+    with pytest.raises(RuntimeError):
+        G.pagerank_to_convergence(make(spark, lists), 1, max_iterations=1)
+
+
+def test_messages_and_unique_nodes(spark):
+    data = make(spark, CASES["unknown neighbour"])
+    assert rows(G.message_counters(data)) == [(4, 2, 2, 2)]
+    assert rows(G.message_counters(data.limit(0))) == [(0, 0, 0, 0)]
+    assert G.require_unique_nodes(data) is data
+    with pytest.raises(ValueError):
+        G.require_unique_nodes(data.union(data))
+
+
 def test_counters_and_dangling(spark):
     data = make(spark, CASES["dangling node"])
     assert rows(G.graph_counters(data)) == [(3, 3, 2, 1)]

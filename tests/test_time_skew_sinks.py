@@ -71,3 +71,11 @@ def test_table_sink(spark):
         sinks.write_table(df, "counts_sink", "term", 4)
     assert rows(spark.table("counts_sink")) == [("a", 2), ("b", 1)]
     spark.sql("DROP TABLE counts_sink")
+
+
+def test_key_values(spark, tmp_path):
+    from tallyloom.sources import key_value_file
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "term string, n int")
+    sinks.write_key_values(df, str(tmp_path / "seq"))
+    assert rows(key_value_file(spark, str(tmp_path / "seq"), "term string, n int")) == [("a", 1), ("b", 2)]
