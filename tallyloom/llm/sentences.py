@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import sentence_rules as R
 
 EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]"
-BLANK_LINES = re.compile(r"(?:\r\n|\n|\r|\u2029)[^\S\r\n]*(?:\r\n|\n|\r|\u2029)\s*|\u2029")
+BLANK_LINES = re.compile(r"(?:\r\n|\n|\r(?!\n)|\u2029)[^\S\r\n]*[\r\n\u2029]\s*|\u2029")
 TAIL = rf"(?:[^\S\n]?»|[{R.CLOSING}])*(?:\[\p{{N}}{{1,3}}\])*(?:\s?{EMOJI}+)?"
 #: A mark or several, then what belongs to it: closing signs, note numbers, emoji.
 PLACE = regex.compile(rf"(?:[{R.MARKS}]|(?<=\p{{Greek}}\p{{M}}*);)[{R.MARKS}]*{TAIL}")

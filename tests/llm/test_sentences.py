@@ -58,7 +58,10 @@ def test_languages(case):
 def test_units_and_positions():
     text = " \tAct 1, Scene 2 \r\n\r\nLet it fall, and\nlet it be.  Yes\n \n\n🎉\n"
     assert [text[:e].splitlines()[-1][-4:] for e in sentence_ends(text)] == ["ne 2", " be.", " Yes", "🎉"]
-    assert sentence_ends("a b") == [1, 3]
+    assert sentence_ends("a\u2029b") == [1, 3]
+    for line_end in ("\n", "\r\n", "\r"):
+        assert len(sentence_ends(f"One line{line_end}and another. Next.")) == 2
+        assert len(sentence_ends(f"Heading{line_end} {line_end}It is{line_end}one.{line_end}{line_end}")) == 2
     for blank in (None, "", " \n\n\t", " "):
         assert sentence_ends(blank) == []
     assert sentence_ends("x") == [1]
