@@ -23,10 +23,10 @@ def numbered(df: DataFrame, key: str, name: str = "code") -> DataFrame:
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     begin, offsets = 0, []
     for part in sorted(sizes):
-        offsets += [F.lit(part), F.lit(begin)]
+        offsets.append((part, begin))
         begin += sizes[part]
-    first = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return placed.withColumn(name, (F.col("_row") + first).cast("bigint")).drop("_part", "_row")
+    first = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part bigint, _first bigint"))
+    return placed.join(first, "_part").withColumn(name, F.col("_row") + F.col("_first")).drop("_part", "_row", "_first")
 
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,6 +26,21 @@ def test_rows_that_are_no_postings_supersede_nothing(spark):
     assert rows(postings_in_force(spark.createDataFrame([], POSTINGS))) == []
 
 
+def test_times_do_not_depend_on_the_zone_of_the_session(spark):
+    # in this zone one wall clock hour comes twice on that day
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        times = [datetime(2014, 11, 2, 0, 59, 59, 999999), datetime(2014, 11, 2, 1, 30), datetime(2014, 11, 2, 1, 30, 0, 1), datetime(1969, 12, 31, 23, 59, 59, 1)]
+        for kind in ("timestamp_ntz", "timestamp"):
+            data = [("a", 1, k + 1, t, 0) for k, t in enumerate(times)]
+            df = spark.createDataFrame(data, POSTINGS.replace("timestamp_ntz", kind))
+            assert rows(postings_in_force(df)) == [("a", 1, 3)]
+            assert rows(postings_in_force(df.where("tf <> 3 AND tf <> 2"))) == [("a", 1, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_lists_lose_null_elements_only(spark):
     data = [(1, [3, None, 3], NEW, 0.0), (1, [9], OLD, 0.0), (2, None, NEW, 0.0), (2, [1], OLD, 0.0), (3, [], NEW, 0.0), (None, [1], NEW, 0.0)]
     assert rows(lists_in_force(spark.createDataFrame(data, ADJACENCY))) == [(1, [3, 3]), (2, []), (3, [])]
