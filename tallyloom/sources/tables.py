@@ -45,24 +45,9 @@ def valid_postings(postings: DataFrame) -> DataFrame:
     return postings.where(not_blank(F.col("term")) & F.col("docno").isNotNull() & (F.col("tf") >= 1))
 
 
-def _micros(df: DataFrame, time: str) -> Column:
-    """Microseconds of a time; those of a time without a zone whatever the session's zone, whose clock may be set back."""
-    t = F.col(time)
-    if dict(df.dtypes)[time] == "timestamp":
-        return F.unix_micros(t)
-    minutes = (F.unix_date(t.cast("date")).cast("bigint") * 24 + F.hour(t)) * 60 + F.minute(t)
-    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
-
-
 def postings_in_force(postings: DataFrame) -> DataFrame:
-    """(term, docno, tf) in force.
-
-    The time and the tf are packed into one decimal that orders rows, which keeps the aggregate's
-    buffer of fixed width and so in a hash table rather than in a sort.
-    """
-    micros = F.coalesce(_micros(postings, "written_at"), F.lit(-(2**62)))
-    order = micros.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.least("tf", F.lit(10**18 - 1)).cast("decimal(19,0)")
-    return valid_postings(postings).groupBy("term", "docno").agg(F.max_by("tf", order).alias("tf"))
+    """(term, docno, tf) in force."""
+    return current_rows(valid_postings(postings), ["term", "docno"], "written_at", ["tf"])
 
 
 def lists_in_force(adjacency: DataFrame) -> DataFrame:
