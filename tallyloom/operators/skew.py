@@ -39,14 +39,15 @@ def per_node(graph: DataFrame) -> DataFrame:
     return each.groupBy("node_id").agg(F.count(F.lit(1)).alias("entries"), F.count(F.when(F.col("first"), 1)).alias("pointers"))
 
 
-def heavy_keys(results: DataFrame, share: float, entries: str = "entries") -> DataFrame:
-    """The rows of ``results`` whose entries are at least ``share`` of the entries of all rows.
+def heavy_keys(results: DataFrame, share: float, kind: str | None = None, entries: str = "entries") -> DataFrame:
+    """The rows of ``results`` whose entries are at least ``share`` of the entries of all rows, or of all rows of one ``kind``.
 
-    The per-key results are written once and read twice: for the total and for the filter.
+    The per-key results are written once and read twice: for the totals and for the filter. No more than 1/share
+    keys of a kind are left; kinds must be few. No rows for an empty table.
     """
-    results = cut(results)
-    total = results.agg(F.coalesce(F.sum(entries), F.lit(0)).alias("n")).scalar()
-    return results.where(F.col(entries) / F.nullif(total, F.lit(0)) >= share)
+    results = cut(results.withColumn("_kind", F.col(kind) if kind else F.lit("")))
+    totals = results.groupBy("_kind").agg(F.sum(entries).alias("_total"))
+    return results.join(F.broadcast(totals), "_kind").where(F.col(entries) / F.col("_total") >= share).drop("_kind", "_total")
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:

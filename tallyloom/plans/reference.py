@@ -133,11 +133,12 @@ HEAVY_SHARE = 0.01
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(key_kind, key_text): terms and pointed-to nodes that hold at least a hundredth of all entries."""
-    by_term = skew.heavy_keys(skew.per_term(postings_in_force(load(spark, folder, "postings"))), HEAVY_SHARE)
-    by_node = skew.heavy_keys(skew.per_node(_graph(spark, folder)), HEAVY_SHARE)
-    return by_term.select(F.lit("term").alias("key_kind"), F.col("term").alias("key_text")).union(
-        by_node.select(F.lit("node").alias("key_kind"), F.col("node_id").cast("string").alias("key_text"))
+    terms = skew.per_term(postings_in_force(load(spark, folder, "postings")))
+    nodes = skew.per_node(_graph(spark, folder))
+    results = terms.select(F.lit("term").alias("key_kind"), F.col("term").alias("key_text"), "entries").union(
+        nodes.select(F.lit("node"), F.col("node_id").cast("string"), "entries")
     )
+    return skew.heavy_keys(results, HEAVY_SHARE, "key_kind").select("key_kind", "key_text")
 
 
 # The same in SQL.

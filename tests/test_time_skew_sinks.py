@@ -37,6 +37,8 @@ def test_heavy_keys(spark):
     assert rows(skew.heavy_keys(per_term, 0.01), "term") == [("cold",), ("hot",)]
     assert rows(skew.heavy_keys(per_term, 0.0101), "term") == [("hot",)]
     assert rows(skew.heavy_keys(per_term.limit(0), 0.01)) == []
+    kinds = spark.createDataFrame([("a", "x", 99), ("a", "y", 1), ("b", "x", 1)], "kind string, key string, entries int")
+    assert rows(skew.heavy_keys(kinds, 0.5, "kind"), "kind", "key") == [("a", "x"), ("b", "x")]
     graph = spark.createDataFrame([(1, [7, 7, 8]), (2, [7]), (3, [])], "node_id bigint, nbrs array<bigint>")
     assert rows(skew.per_node(graph)) == [(7, 3, 2), (8, 1, 1)]
     assert rows(skew.per_node(graph.limit(0))) == []
