@@ -136,7 +136,7 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     """(x, y, pairs, x_records, y_records, records, pmi, log_odds) of the pairs in at least ``min_count`` records.
 
     ``records`` (docno, items) has one row for each docno; items are strings, repeats within a record count once, x < y by
-    code points. ``records`` counts those with at least one item that is not null. Null and empty lists hold nothing, null items are ignored, an empty
+    code points. Rows with a null docno are left out. ``records`` counts those with at least one item that is not null. Null and empty lists hold nothing, null items are ignored, an empty
     table gives no rows; other columns are ignored.
     ``pmi`` is log10(pairs * records / (x_records * y_records)); ``log_odds`` the natural logarithm of the odds ratio with one half added to each cell.
 
@@ -144,7 +144,7 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     """
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
-    held = records.select("docno", F.filter("items", lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
+    held = records.where("docno IS NOT NULL").select("docno", F.filter("items", lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
     # one pass for both: the null at the end of each record counts the records
     counted = held.select(F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(
         F.count(F.lit(1)).alias("n")

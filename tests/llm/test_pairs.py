@@ -35,7 +35,7 @@ def test_against_brute_force(spark, dictionary, monkeypatch):
     words = [chr(97 + k) * 2 for k in range(20)] + ["é", "Z", "\U0001f600", "｡"]
     records = [draw.choices(words, weights=[30, 20] + [2] * 22, k=draw.randrange(0, 12)) for _ in range(400)]
     records += [None, [], [None], [None, "aa", "aa", "bb"], ["aa"]] + [["aa", "bb"]] * 200
-    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)], RECORDS)
+    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)] + [(None, ["aa", "lost"], "clash", 1)] * 20, RECORDS)
     for least in (1, 10):
         assert found(P.item_pairs(df, least, dictionary)) == brute(records, least)
 
