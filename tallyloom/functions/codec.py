@@ -7,26 +7,29 @@ postings is its number of documents, then gap and count of each posting in turn.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LISTS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("docno", "tf")])
 
 
+def varint_lengths(values: np.ndarray) -> np.ndarray:
+    """How many bytes each number takes."""
+    limits = np.uint64(1) << (np.arange(1, 10, dtype=np.uint64) * np.uint64(7))
+    return np.searchsorted(limits, values.astype(np.uint64), side="right") + 1
+
+
 def encode_varints(values: np.ndarray) -> bytes:
     """Bytes of non-negative integers, one after another."""
     values = np.asarray(values, dtype=np.uint64)
-    if not len(values):
-        return b""
-    shifts = np.arange(10, dtype=np.uint64) * np.uint64(7)
-    groups = (values[:, None] >> shifts) & np.uint64(0x7F)
-    lengths = np.maximum(1, 10 - (groups[:, ::-1] != 0).argmax(axis=1))
-    lengths[values == 0] = 1
-    place = np.arange(10)
-    groups = groups.astype(np.uint8)
-    groups[place < lengths[:, None] - 1] |= 0x80
-    return groups[place < lengths[:, None]].tobytes()
+    lengths = varint_lengths(values)
+    owner = np.repeat(np.arange(len(values)), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    groups = ((values[owner] >> (place * 7).astype(np.uint64)) & np.uint64(0x7F)).astype(np.uint8)
+    groups[place < lengths[owner] - 1] |= 0x80
+    return groups.tobytes()
 
 
 def decode_varints(data: bytes) -> np.ndarray:
@@ -41,26 +44,49 @@ def decode_varints(data: bytes) -> np.ndarray:
     return np.add.reduceat(parts, starts)
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_postings(begin: pd.Series, docnos: pd.Series, tfs: pd.Series) -> pd.Series:
-    """Bytes of lists of ascending docnos and their counts; the first gap is counted from ``begin``. Null for a null list."""
-    out = []
-    for start, docno, tf in zip(begin, docnos, tfs):
-        if docno is None or tf is None:
-            out.append(None)
-            continue
-        flat = np.empty(1 + 2 * len(docno), dtype=np.int64)
-        flat[0], flat[1::2], flat[2::2] = len(docno), np.diff(docno, prepend=start), tf
-        out.append(encode_varints(flat))
-    return pd.Series(out, dtype=object)
-
-
-@F.pandas_udf(LISTS)
-def decode_postings(begin: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """Arrays of docnos and of counts from the bytes of ``encode_postings``; null for null."""
-    docnos, tfs = [], []
-    for start, item in zip(begin, data):
-        flat = None if item is None else decode_varints(bytes(item)).astype(np.int64)
-        docnos.append(None if flat is None else start + np.cumsum(flat[1::2]))
-        tfs.append(None if flat is None else flat[2::2])
-    return pd.DataFrame({"docno": docnos, "tf": tfs})
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+@F.arrow_udf(T.BinaryType())
+def encode_postings(begin: pa.Array, docnos: pa.Array, tfs: pa.Array) -> pa.Array:
+    """Bytes of lists of ascending docnos and their counts; the first gap is counted from ``begin``. Null for a null list.
+
+    All lists of a batch are encoded at once, without a loop over them.
+    """
+    null = pc.is_null(docnos).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(docnos), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, counts = docnos.flatten().to_numpy(), tfs.flatten().to_numpy()
+    heads = _starts(sizes)
+    gaps = np.diff(values, prepend=0)
+    filled = sizes > 0
+    gaps[heads[filled]] = values[heads[filled]] - begin.to_numpy(zero_copy_only=False)[filled]
+    width = np.where(null, 0, 1 + 2 * sizes)
+    first = _starts(width)
+    flat = np.empty(int(width.sum()), dtype=np.int64)
+    flat[first[~null]] = sizes[~null]
+    at = np.repeat(first, sizes) + 1 + 2 * (np.arange(len(values)) - np.repeat(heads, sizes))
+    flat[at], flat[at + 1] = gaps, counts
+    lengths = np.concatenate([[0], np.cumsum(varint_lengths(flat))])
+    offsets = lengths[np.append(first, len(flat))].astype(np.int32)
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(null), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(encode_varints(flat))])
+
+
+@F.arrow_udf(LISTS)
+def decode_postings(begin: pa.Array, data: pa.Array) -> pa.Array:
+    """Arrays of docnos and of counts from the bytes of ``encode_postings``; null arrays for null."""
+    null = pc.is_null(data).to_numpy(zero_copy_only=False)
+    joined = b"".join(x for x in data.to_pylist() if x is not None)
+    bytes_ = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = decode_varints(joined).astype(np.int64)
+    ends = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) < 0x80)
+    first = np.searchsorted(ends, _starts(bytes_))
+    sizes = np.zeros(len(null), dtype=np.int64)
+    sizes[~null] = flat[first[~null]]
+    heads = _starts(sizes)
+    at = np.repeat(first, sizes) + 1 + 2 * (np.arange(int(sizes.sum())) - np.repeat(heads, sizes))
+    running = np.concatenate([[0], np.cumsum(flat[at])])
+    docnos = running[1:] - np.repeat(running[heads], sizes) + np.repeat(begin.to_numpy(zero_copy_only=False), sizes)
+    offsets = pa.array(np.append(heads, sizes.sum()).astype(np.int32), mask=np.append(null, False))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (docnos, flat[at + 1])], ["docno", "tf"])
