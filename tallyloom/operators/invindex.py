@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions.codec import decode_postings, encode_postings
 from tallyloom.functions.tokens import tokens
+from tallyloom.session import ship
 
 BLOCK_BITS = 16
 
@@ -54,6 +55,7 @@ def gaps(index: DataFrame) -> DataFrame:
 
 def compressed(index: DataFrame) -> DataFrame:
     """(term, block, docs, data): each list as variable-length bytes of its gaps, counted from the block's begin, and counts."""
+    ship(index.sparkSession)
     lists = postings_lists(index)
     begin = F.shiftleft("block", BLOCK_BITS)
     return lists.select("term", "block", "docs", encode_postings(begin, F.col("postings.docno"), F.col("postings.tf")).alias("data"))
@@ -61,6 +63,7 @@ def compressed(index: DataFrame) -> DataFrame:
 
 def decompressed(data: DataFrame) -> DataFrame:
     """(term, docno, tf) of ``compressed``."""
+    ship(data.sparkSession)
     begin = F.shiftleft("block", BLOCK_BITS)
     lists = data.select("term", decode_postings(begin, F.col("data")).alias("p"))
     pairs = F.arrays_zip(F.col("p.docno").alias("docno"), F.col("p.tf").alias("tf"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,6 +95,20 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context: they may not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tallyloom-code-")) / f"tallyloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tallyloom_shipped = True
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose number has to be fixed in advance."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
