@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import ship
 from tallyloom.sources.tables import postings_in_force, valid_postings
 
 #: Docnos of a container up to which it is an array.
@@ -125,6 +126,7 @@ def term_bitmaps(postings: DataFrame) -> DataFrame:
 
     Rows that are no posting are left out (see ``valid_postings``); docnos may be negative. An empty table gives no rows.
     """
+    ship(postings.sparkSession)
     rows = postings_in_force(postings).sortWithinPartitions("term", "docno")
     built = rows.select("term", "docno", "tf").mapInArrow(_build, SCHEMA)
     together = built.repartition("term", "block").sortWithinPartitions("term", "block")

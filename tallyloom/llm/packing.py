@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, ship
 
 #: Items of a shard, on average.
 SHARD_ITEMS = 8192
@@ -104,6 +104,7 @@ def pack(items: DataFrame, limits: Limits, key: str = "doc_id", size: str = "n_t
     Container names are unique strings. ``part`` is 0 but for split items. Items of size 0 take no tokens, only a place. Equal
     items are packed each; the result depends on the items only, not on how the table is partitioned. An empty table gives no rows.
     """
+    ship(items.sparkSession)
     cuts = cut(pieces(items, key, size, limits.tokens))
     count = cuts.count()
     shards = max(1, round(count / shard_items))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.tokens import tokens
 from tallyloom.operators.numbering import numbered
 from tallyloom.operators.skew import attach
-from tallyloom.session import cut
+from tallyloom.session import cut, ship
 
 #: Codes in one sorted run: 16 MB.
 RUN = 1 << 21
@@ -144,6 +144,7 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     """
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
+    ship(records.sparkSession)
     held = records.where("docno IS NOT NULL").select("docno", F.filter("items", lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
     # one pass for both: the null at the end of each record counts the records
     counted = held.select(F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import sentence_rules as R
+from tallyloom.session import ship
 
 EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]"
 BLANK_LINES = re.compile(r"(?:\r\n|\n|\r(?!\n)|\u2029)[^\S\r\n]*[\r\n\u2029]\s*|\u2029")
@@ -191,6 +192,7 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
     Nothing is shuffled. ``end_pos`` counts code points. Repeated texts are cut each; the stated language of a row is not used, since it may be wrong and texts mix
     languages: each place goes by the script it stands in. Other columns are ignored and not read.
     """
+    ship(documents.sparkSession)
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     kind = dict(rows.dtypes)["k"]
 

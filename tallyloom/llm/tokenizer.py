@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import ship
+
 DEFAULT = "byte_bpe_50k.tiktoken"
 #: Longest part, in characters, that one call encodes if there is a safe place to cut.
 PART = 1 << 16
@@ -79,6 +81,7 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     Nothing is shuffled; repeated texts are encoded each. Other columns are ignored and not read.
     """
+    ship(documents.sparkSession)
     path = path or rank_path()
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
@@ -95,6 +98,7 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens): the number of ids of each text, 0 for empty and null texts."""
+    ship(documents.sparkSession)
     path = path or rank_path()
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
@@ -109,6 +113,7 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, data): the bytes of each list of ids; null for a null list. Unknown ids raise KeyError."""
+    ship(encoded.sparkSession)
     path = path or rank_path()
     rows = encoded.select(F.col(key).alias("k"), F.col(ids).cast("array<int>").alias("i"))
     kind = dict(rows.dtypes)["k"]

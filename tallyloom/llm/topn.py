@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import ship
+
 #: Rows that a task holds before it reduces them.
 BUFFER = 1 << 18
 SIGN = np.uint64(1 << 63)
@@ -131,6 +133,7 @@ def top_n(rows: DataFrame, group: str, identifier: str, score: str, n: int) -> D
     """
     if n < 1:
         raise ValueError("n must be at least 1")
+    ship(rows.sparkSession)
     clean = rows.select(F.col(group).cast("bigint").alias("g"), F.col(identifier).cast("bigint").alias("i"), (F.col(score).cast("double") + F.lit(0.0)).alias("s"))
     clean = clean.dropna().where(~F.isnan("s"))
 
