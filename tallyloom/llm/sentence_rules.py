@@ -125,7 +125,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "indic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,3}\.)+", r"\s*\S"), *_abbreviations("hindi")],
     "ethiopic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,2}\.)+", r"\s*\S")],
     "numbers": [
-        (KEEP, r"(?:\A|\n)[^\S\n]*[\ufeff]?\(?(?:\p{N}{1,4}|\p{L}|[ivxIVX]{1,5})\.", r"\s"),  # number of a list
+        (KEEP, r"(?:\A|\n)[^\S\n]*[\ufeff]?\(?(?:\p{N}{1,4}|\p{L}|[ivxIVX]+)\.", r"\s"),  # number of a list
     ],
     "initials": [
         (KEEP, r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,2}\.", r"\s*\p{Ll}"),  # short and unknown
@@ -153,11 +153,6 @@ CASCADES: dict[str, tuple[str, ...]] = {
     "other": ("numbers", "first", "marks", "initials", "last"),
 }
 
-#: Tables of a language: all their rules are about a full stop behind an abbreviation, a number or one letter.
-LANGUAGES = ("numbers", "english", "german", "french", "spanish", "russian", "greek", "arabic", "indic", "ethiopic", "numbers", "initials")
-#: The last letters of all abbreviations, and numerals: behind other words of three letters and more no table of a language needs to be asked.
-LAST_WORDS = frozenset(w.rpartition(".")[2] for lists in (TITLES, NUMBERED, INNER, ENDING) for words in lists.values() for w in words.split()) | {"iii", "vii", "viii", "III", "VII", "VIII"}
-
 #: Marks that end a sentence wherever they stand outside a quotation that goes on.
 SURE = "。！？｡؟۔।॥።፧։။‼⁇⁈⁉\u037e"
 MARKS = ".!?…．" + SURE

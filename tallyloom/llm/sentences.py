@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -65,10 +64,10 @@ def script_of(letter: str) -> str:
 
 
 @functools.cache
-def rules_for(script: str, mark: str, languages: bool) -> list[tuple[bool, regex.Pattern]]:
+def rules_for(script: str, mark: str) -> list[tuple[bool, regex.Pattern]]:
     """The cascade of a script as one list of rules that look back and ahead from a place behind ``mark``.
 
-    Rules about another mark are left out, and on demand the tables of languages.
+    Rules about another mark are left out.
     """
 
     def about(before: str) -> bool:
@@ -77,7 +76,6 @@ def rules_for(script: str, mark: str, languages: bool) -> list[tuple[bool, regex
     return [
         (end, regex.compile((f"(?<={before})" if before else "") + (f"(?={after})" if after else "")))
         for name in R.CASCADES[script]
-        if languages or name not in R.LANGUAGES
         for end, before, after in R.TABLES[name]
         if about(before)
     ]
@@ -120,15 +118,11 @@ def _guarded(unit: str, closed: set[int], lower: int = 0, upper: int | None = No
     return spans
 
 
-def _before(unit: str, at: int) -> tuple[str, str]:
-    """The last letter before a place, and the letters that stand directly before it (up to nine; none if it is no letter)."""
-    k = at
-    while k and at - k < 9 and (unit[k - 1].isalpha() or unicodedata.category(unit[k - 1])[0] == "M"):
-        k -= 1
-    word, j = unit[k:at], at
-    while j and not unit[j - 1].isalpha():
-        j -= 1
-    return unit[j - 1] if j else "", word
+def _before(unit: str, at: int) -> str:
+    """The last letter before a place, if there is one."""
+    while at and not unit[at - 1].isalpha():
+        at -= 1
+    return unit[at - 1] if at else ""
 
 
 def _ends(unit: str) -> list[int]:
@@ -150,9 +144,7 @@ def _ends(unit: str) -> list[int]:
         if mark in R.SURE:
             ends.append(place)
             continue
-        letter, word = _before(unit, at)
-        needed = mark in ".…" and (len(word) < 3 or word in R.LAST_WORDS)
-        for end, rule in rules_for(script_of(letter), "?" if mark == ";" else mark, needed):
+        for end, rule in rules_for(script_of(_before(unit, at)), "?" if mark == ";" else mark):
             if rule.match(unit, place):
                 if end:
                     ends.append(place)

@@ -55,6 +55,12 @@ def test_languages(case):
         assert cut(case.replace("|", "")) == expected
 
 
+@pytest.mark.parametrize("case", ["XII. Who won?", "xvi. The king came.| It fell.", "(XIV. Who won?", "XXXVIII. It fell.", "स्व. राम आया।", "स्व. राम आया।| कुल 5 कि.मी. है।"])
+def test_long_numerals_and_abbreviations(case):
+    assert cut(case.replace("|", "")) == [p.strip() for p in case.split("|")]
+    assert cut("It fell.\n" + case.replace("|", "")) == ["It fell.", *(p.strip() for p in case.split("|"))]
+
+
 def test_units_and_positions():
     text = " \tAct 1, Scene 2 \r\n\r\nLet it fall, and\nlet it be.  Yes\n \n\n🎉\n"
     assert [text[:e].splitlines()[-1][-4:] for e in sentence_ends(text)] == ["ne 2", " be.", " Yes", "🎉"]
