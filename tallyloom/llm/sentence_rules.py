@@ -52,12 +52,24 @@ ENDING = {
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner"
 GERMAN_BEFORE_ORDINALS = "der die das den dem des am vom zum zur im beim ab bis seit jeder jede jedes ein eine einem einer"
 SAYING = "said says asked asks cried cries replied answered whispered shouted called exclaimed added murmured wondered thought laughed sighed wrote began continued demanded insisted repeated screamed yelled"
+#: Marks that end a sentence wherever they stand outside a quotation that goes on.
+SURE = "。！？｡؟۔।॥።፧։။‼⁇⁈⁉\u037e"
+MARKS = ".!?…．" + SURE
+#: A full stop inside a name, a number or an abbreviation.
+DOT_INSIDE = r"|[.．]++(?=[\p{L}\p{N}])"
+
+
+def _phrase(stops: str, more: str = "") -> str:
+    """Up to the verb of saying: anything but sentence marks and ``stops``. A pause is none, nor what matches ``more``."""
+    return rf"(?:[^{MARKS};{stops}]|(?<!\p{{Greek}}\p{{M}}*);|…++(?=\s*\p{{L}}){more})*?"
+
+
 #: Who or what was said or asked stands behind a quotation in scripts without capitals.
 SAYING_AFTER = (
     r"(?:[^\s.!?؟،]+\s+)?(?:سأل|قال|صاح|أجاب|همس|صرخ|هتف|سألت|قالت|صاحت|أجابت)\b(?![^.!?؟\n]{0,40}:)",  # Arabic
-    r"[^.!?।॥“”]{0,60}?(?:पूछा|कहा|बोला|बोली|चिल्लाया|चिल्लाई|उत्तर दिया)(?!\s*[,:])",  # Hindi
-    r"[^.!?۔؟“”]{0,60}?(?:پوچھا|کہا|بولا|بولی|چلایا)(?!\s*[،,:])",  # Urdu
-    r"[^。！？；“”「」]{0,24}?(?:问道|問道|说道|說道|说|說|喊道|叫道|答道|回答|笑道|写道|寫道)(?=[。，；！？])",  # Chinese
+    rf"{_phrase('“”')}(?:पूछा|कहा|बोला|बोली|चिल्लाया|चिल्लाई|उत्तर दिया)(?!\s*[,:])",  # Hindi
+    rf"{_phrase('“”')}(?:پوچھا|کہا|بولا|بولی|چلایا)(?!\s*[،,:])",  # Urdu
+    rf"{_phrase('；“”「」', DOT_INSIDE)}(?:问道|問道|说道|說道|说|說|喊道|叫道|答道|回答|笑道|写道|寫道)(?=[。，；！？])",  # Chinese
     r"(?:と|って|という|との)",  # Japanese
     r"\s?(?:라고|이라고|하고|고|라며|이라며|라는|하며)",  # Korean
 )
@@ -153,9 +165,6 @@ CASCADES: dict[str, tuple[str, ...]] = {
     "other": ("numbers", "first", "marks", "initials", "last"),
 }
 
-#: Marks that end a sentence wherever they stand outside a quotation that goes on.
-SURE = "。！？｡؟۔।॥።፧։။‼⁇⁈⁉\u037e"
-MARKS = ".!?…．" + SURE
 CLOSING = "”’'»›)\\]）］」』》〉】}"
 #: They close only what they have opened: German and straight quotation marks.
 CLOSING_IF_OPENED = "“\""

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from rows import rows
 
@@ -61,6 +63,28 @@ def test_long_numerals_and_abbreviations(case):
     assert cut("It fell.\n" + case.replace("|", "")) == ["It fell.", *(p.strip() for p in case.split("|"))]
 
 
+@pytest.mark.parametrize(
+    "case",
+    [
+        "“नदी कहाँ है?” " + "लोलो " * 40 + "ने पूछा।| अंत हुआ।",
+        "“باغ کہاں ہے؟” " + "لولو " * 40 + "نے پوچھا۔| لمبائی 48.3 ہے۔",
+        "“花园在哪里？”" + "维诺" * 40 + "问道。|高塔来了。",
+        "“花园在哪里？”" + "维诺" * 20 + "Ver.2……" + "维诺" * 20 + "问道。|高塔来了。",
+        "“नदी कहाँ है?”| लोलो आया।| लोलो ने पूछा।",
+        "“花园在哪里？”|高塔来了。|维诺问道。",
+    ],
+)
+def test_speakers_of_any_length(case):
+    assert cut(case.replace("|", "")) == [p.strip() for p in case.split("|")]
+
+
+def test_many_quotations_take_linear_time():
+    for quotation in ("«It fell.» ", "«Πού;» ", "«It fell…» ", "«It fell।» "):
+        begin = time.process_time()
+        sentence_ends(quotation * 20000)
+        assert time.process_time() - begin < 20
+
+
 def test_units_and_positions():
     text = " \tAct 1, Scene 2 \r\n\r\nLet it fall, and\nlet it be.  Yes\n \n\n🎉\n"
     assert [text[:e].splitlines()[-1][-4:] for e in sentence_ends(text)] == ["ne 2", " be.", " Yes", "🎉"]
