@@ -20,8 +20,8 @@ MARGIN = 2.1
 CAPACITY = 2048
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.item_pairs(pairs.records_of_lines(lines_in_force(load(spark, folder, "passages"))), MIN_PAIRS)
+def _pairs(spark: SparkSession, folder: str, min_count: int = MIN_PAIRS) -> DataFrame:
+    return pairs.item_pairs(pairs.records_of_lines(lines_in_force(load(spark, folder, "passages"))), min_count)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +32,11 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).withColumns({c: F.round(c, 6) for c in ("pmi", "log_odds")})
 
 
+def p1_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of tokens that share a line, also those in one line only."""
+    return _pairs(spark, folder, 1).withColumns({c: F.round(c, 6) for c in ("pmi", "log_odds")})
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return topterms.heavy_items(load(spark, folder, "word_counts"), HEAVY_SHARE).select(F.col("item").alias("term"))
 
@@ -90,6 +95,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p1_all_pairs": p1_all_pairs,
     "p2_found": p2_found,
     "p2_top": p2_top,
     "p3_found": p3_found,

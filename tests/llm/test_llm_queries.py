@@ -1,9 +1,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import FOLDER, compare
 
 from tallyloom.llm import queries
+from tallyloom.llm.pairs import records_of_lines
+from tallyloom.sources import lines_in_force, load
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
@@ -24,3 +27,15 @@ def test_columns(spark):
         "p7_ids": ["doc_id", "ids"],
         "p9_found": ["doc_id", "end_pos"],
     }
+
+
+def test_all_pairs(spark):
+    """Every pair is there: each record of k different tokens adds k * (k - 1) / 2, and the frequent pairs are those of p1_pairs."""
+    items = records_of_lines(lines_in_force(load(spark, FOLDER, "passages"))).select(F.size(F.array_distinct("items")).cast("bigint").alias("k")).where("k > 0")
+    expected = items.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0]
+    found = queries.QUERIES["p1_all_pairs"](spark, FOLDER).cache()
+    assert found.agg(F.sum("pairs")).first()[0] == expected
+    assert found.where("pairs < 10").count() > 0
+    frequent, listed = found.where("pairs >= 10"), queries.QUERIES["p1_pairs"](spark, FOLDER)
+    assert frequent.exceptAll(listed).count() == listed.exceptAll(frequent).count() == 0
+    found.unpersist()
