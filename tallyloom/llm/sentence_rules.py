@@ -52,9 +52,21 @@ ENDING = {
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner"
 GERMAN_BEFORE_ORDINALS = "der die das den dem des am vom zum zur im beim ab bis seit jeder jede jedes ein eine einem einer"
 SAYING = "said says asked asks cried cries replied answered whispered shouted called exclaimed added murmured wondered thought laughed sighed wrote began continued demanded insisted repeated screamed yelled"
+#: Code points of the other scripts' marks: the rest of Unicode's Sentence_Terminal, and the Tibetan shads. Without U+104A, a comma in Burmese.
+OTHER_SCRIPTS = (
+    "61D-61E 700-702 7F9 837 839 83D-83E F0D-F12 1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB 1B4E-1B4F 1B5A-1B5B "
+    "1B5E-1B5F 1B7D-1B7F 1C3B-1C3C 1C7E-1C7F 203D 2CF9-2CFB 2E2E 2E3C 2E53-2E54 2E60-2E61 A4FF A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF "
+    "A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE12 FE15-FE16 FE56-FE57 10A56-10A57 10F55-10F59 10F86-10F89 11047-11048 110BE-110C1 "
+    "11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 113D4-113D5 1144B-1144C 115C2-115C3 115C9-115D7 "
+    "11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42 11EF7-11EF8 11F43-11F44 16A6E-16A6F 16AF5 16B37-16B38 "
+    "16B44 16D6E-16D6F 16E98 1BC9F 1DA88"
+)
 #: Marks that end a sentence wherever they stand outside a quotation that goes on.
-SURE = "。！？｡؟۔।॥።፧։။‼⁇⁈⁉\u037e"
-MARKS = ".!?…．" + SURE
+SURE = "。！？｡؟۔।॥።፧։။‼⁇⁈⁉\u037e" + "".join(chr(c) for r in OTHER_SCRIPTS.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1))
+#: Other forms of the full stop, which end a sentence before a blank.
+STOPS = "\u2024\ufe52"
+MARKS = ".!?…．" + STOPS + SURE
+SHADS = "\u0f0d-\u0f12"
 #: A full stop inside a name, a number or an abbreviation.
 DOT_INSIDE = r"|[.．]++(?=[\p{L}\p{N}])"
 
@@ -104,6 +116,7 @@ def _abbreviations(*languages: str) -> list[tuple[bool, str, str]]:
 
 TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "first": [
+        (KEEP, f"[{STOPS}]", r"\S"),
         (KEEP, r"\.", r"[\p{Ll}\p{N}_/\\@]"),  # decimals, addresses, file names
         (KEEP, r"", r"\s*[,;:،؛，；：、]"),  # the sentence goes on
         (KEEP, r"", r"\s*[—–-]+\s*\p{Ll}"),  # who speaks, behind a dash

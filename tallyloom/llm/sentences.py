@@ -24,8 +24,8 @@ from tallyloom.session import ship
 EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]"
 BLANK_LINES = re.compile(r"(?:\r\n|\n|\r(?!\n)|\u2029)[^\S\r\n]*[\r\n\u2029]\s*|\u2029")
 TAIL = rf"(?:[^\S\n]?»|[{R.CLOSING}])*(?:\[\p{{N}}{{1,3}}\])*(?:\s?{EMOJI}+)?"
-#: A mark or several, then what belongs to it: closing signs, note numbers, emoji.
-PLACE = regex.compile(rf"(?:[{R.MARKS}]|(?<=\p{{Greek}}\p{{M}}*);)[{R.MARKS}]*{TAIL}")
+#: A mark or several (Tibetan ones also set apart by a blank), then what belongs to it: closing signs, note numbers, emoji.
+PLACE = regex.compile(rf"(?:[{R.MARKS}]|(?<=\p{{Greek}}\p{{M}}*);)[{R.MARKS}]*(?:(?<=[{R.SHADS}])[^\S\r\n]+[{R.SHADS}]+)*{TAIL}")
 MORE = regex.compile(TAIL)
 SPANS = regex.compile(
     r"(?=[„“«‘\"「『《（(\[【])(?:„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|‘(?:[^‘’]|’(?=\p{L}))*’(?!\p{L})|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|《[^《》]*》|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】)"
@@ -71,7 +71,7 @@ def rules_for(script: str, mark: str) -> list[tuple[bool, regex.Pattern]]:
     """
 
     def about(before: str) -> bool:
-        return not before or (mark == "." and r"\." in before) or (mark in "!?" and "!" in before) or (mark == "…" and "…" in before)
+        return not before or (mark == "." and r"\." in before) or (mark in "!?" and "!" in before) or (mark == "…" and "…" in before) or (mark in R.STOPS and mark in before)
 
     return [
         (end, regex.compile((f"(?<={before})" if before else "") + (f"(?={after})" if after else "")))

@@ -1,8 +1,10 @@
 import time
 
 import pytest
+import regex
 from rows import rows
 
+from tallyloom.llm.sentence_rules import MARKS
 from tallyloom.llm.sentences import sentence_ends, split_sentences
 
 
@@ -85,6 +87,29 @@ def test_many_quotations_take_linear_time():
         assert time.process_time() - begin < 20
 
 
+@pytest.mark.parametrize(
+    "case",
+    [
+        "བོད་ཡིག།| དེ་རིང་། །| ང་འགྲོ།",
+        "ᠮᠣᠩᠭᠣᠯ᠃| ᠪᠢᠴᠢᠭ᠉| ᠮᠣᠩ᠃",
+        "ܫܠܡܐ܁| ܥܠܡܐ܀",
+        "ᐃᓄᒃ᙮| ᐃᓄᐃᑦ᙮",
+        "ភាសា៕| ខ្មែរ។",
+        "ꦗꦮ꧉| ꦧꦱ꧉",
+        "𑄌𑄋𑄴𑅁| 𑄌𑄇𑄴𑅃",
+        "It fell\u2024| It cost 4\u20245 km\ufe52| Zade won‽| Who",
+        "မြင်သည်၊ ရှိသည်။|မြင်သည်။",
+    ],
+)
+def test_marks_of_other_scripts(case):
+    assert cut(case.replace("|", "")) == [p.strip() for p in case.split("|")]
+
+
+def test_all_sentence_terminals():
+    missing = [c for c in map(chr, range(0x110000)) if regex.match(r"\p{Sentence_Terminal}", c) and c not in MARKS]
+    assert missing == ["\u104a"]
+
+
 def test_units_and_positions():
     text = " \tAct 1, Scene 2 \r\n\r\nLet it fall, and\nlet it be.  Yes\n \n\n🎉\n"
     assert [text[:e].splitlines()[-1][-4:] for e in sentence_ends(text)] == ["ne 2", " be.", " Yes", "🎉"]
