@@ -1,8 +1,10 @@
 """Segmentation rules: ordered pairs of what stands before and after a place, by language.
 
 A place is where a mark that can end a sentence has been read, with the closing quotes, brackets, note numbers and emoji behind it. The tables of
-its script are asked in order, and in each the rules in order; the first that matches decides: BREAK or KEEP. Texts change
-language within a paragraph, and the languages of one script share their tables.
+its script and of the language of its sentence are asked in order, and in each the rules in order; the first that matches decides: BREAK or KEEP.
+Where the language cannot be told, the tables of all languages of the script are asked.
+
+No expression that looks back reaches beyond the word, number or run of signs at its place, so that a text of any kind takes linear time.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ TITLES = {
 }
 #: A number follows; before anything else they end a sentence like any word.
 NUMBERED = {
-    "english": "No Nos Fig Figs vol Vol vols p P pp Pp ch Ch sec Sec eq Eq art Art par Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec ver Ver v",
+    "english": "No Nos no nos Fig Figs fig figs vol Vol vols p P pp Pp ch Ch sec Sec eq Eq art Art par Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec ver Ver v c",
     "german": "Nr Abb Bd Bde S Kap Tab Abs Jh Str",
     "french": "t n p pp no fig chap art",
     "spanish": "pág págs Pág núm cap fig vol",
@@ -32,26 +34,50 @@ NUMBERED = {
 }
 #: The sentence always goes on.
 INNER = {
-    "english": "e.g i.e cf Cf ca approx vs viz resp incl esp c",
-    "german": "z.B Z.B z d D u U sog Sog bzw Bzw vgl Vgl ca evtl ggf inkl z.T d.h u.a m.E",
-    "french": "p c cf env éd",
-    "spanish": "p ej p.ej aprox av Av",
-    "russian": "т т.е т.к т.н тыс млн см См ср Ср напр",
+    "english": "e.g i.e cf Cf ca approx vs viz resp incl esp",
+    "german": "z.B Z.B d.h D.h u.a U.a z.T z.Z u.U i.d.R v.a s.o s.u m.E sog Sog bzw Bzw vgl Vgl ca evtl ggf inkl geb gest Hrsg hrsg",
+    "french": "p.ex P.ex cf env éd",
+    "spanish": "p.ej P.ej aprox av Av",
+    "russian": "т.е т.к т.н тыс млн см См ср Ср напр",
     "greek": "π.χ δηλ βλ",
 }
 #: They end a sentence if a capital follows.
 ENDING = {
     "english": "etc Inc Ltd Co Corp Bros Jr Esq al ff ed eds sq km cm mm ft in oz lb hr min sec a.m p.m A.M P.M Ph.D M.D B.A M.A",
-    "german": "usw usf etc m km cm Jh",
+    "german": "usw usf etc m km cm Jh u.s.w",
     "french": "etc km m av",
     "spanish": "etc km m a.C d.C",
     "russian": "т.д т.п др д п г гг в вв км м см руб коп",
     "greek": "κ.λπ κλπ κ.ά χλμ μ χιλ",
 }
+#: Frequent words that tell languages of one script from each other.
+FREQUENT = {
+    "english": "the of and to in is was he she it that his her with for as on at by they we you this these those be are were been have has had not "
+    "but or from which who when then there their its i my your our what all would will if about into than them him out up so no one can could "
+    "do did said very only after before while where why how because some any more most other such nobody nothing",
+    "german": "der die das und ist war nicht ein eine einen einem einer eines des dem den mit von zu im in auf für als auch sich es er sie wir ihr "
+    "ich an am bei nach aus wie dass daß hat haben hatte wird werden wurde noch nur über um sein seine seinen seiner aber oder wenn zum zur so "
+    "vor durch bis sind kam gibt man wo wer was",
+    "french": "le la les des et est dans un une du de au aux en il elle ils elles on nous vous je que qui ne pas plus pour par sur avec sont était "
+    "se ce cette ces son sa ses leur mais ou où si comme tout fut à ont sans sous après avant puis",
+    "spanish": "el la los las de del y en un una que es se no por con para su sus lo al como más pero fue era son le les ha este esta estos sobre "
+    "entre cuando muy sin ya hay desde hasta también donde",
+}
+#: Words that open a sentence and are no name: a capital and a full stop before one of them is no initial.
+OPENERS = {
+    "english": "The This That These Those It Its He She They We You His Her Their My Our In On At But And Or So If As When While Where Then There Here "
+    "Who What Which Why How Nobody Nothing Everybody Everyone Someone Somebody Some Many Most All Both Each Every Another Yet Still However Now After Before Because Since For From With Was Is Are Were Did Do Does Has Have Had Not No",
+    "german": "Der Die Das Ein Eine Es Er Sie Wir Ihr Und Aber Oder Doch Dann Dort Hier Wenn Als Weil Da Im Am In Auf Bei Nach Vor Seit Niemand Jeder Alle Viele Wer Was Wie Warum",
+    "french": "Il Elle Ils Elles On Nous Vous Je Ce Cette Ces Mais Et Puis Alors Ensuite Quand Où Dans Personne Chacun Tous",
+    "spanish": "Él Ella Ellos Ellas Se Pero Y Entonces Luego Cuando Donde En Nadie Todos Este Esta Estos Fue Era Hay",
+}
 
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner"
 GERMAN_BEFORE_ORDINALS = "der die das den dem des am vom zum zur im beim ab bis seit jeder jede jedes ein eine einem einer"
-SAYING = "said says asked asks cried cries replied answered whispered shouted called exclaimed added murmured wondered thought laughed sighed wrote began continued demanded insisted repeated screamed yelled"
+SAYING = (
+    "said says asked asks cried cries replied replies answered whispered shouted called exclaimed added murmured muttered wondered thought laughed sighed wrote began "
+    "continued demanded insisted repeated screamed yelled remarked observed returned declared inquired enquired interrupted told snapped growled"
+)
 #: Code points of the other scripts' marks: the rest of Unicode's Sentence_Terminal, and the Tibetan shads. Without U+104A, a comma in Burmese.
 OTHER_SCRIPTS = (
     "61D-61E 700-702 7F9 837 839 83D-83E F0D-F12 1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB 1B4E-1B4F 1B5A-1B5B "
@@ -78,7 +104,7 @@ def _phrase(stops: str, more: str = "") -> str:
 
 #: Who or what was said or asked stands behind a quotation in scripts without capitals.
 SAYING_AFTER = (
-    r"(?:[^\s.!?؟،]+\s+)?(?:سأل|قال|صاح|أجاب|همس|صرخ|هتف|سألت|قالت|صاحت|أجابت)\b(?![^.!?؟\n]{0,40}:)",  # Arabic
+    r"(?:[^\s.!?؟،“”«»\"]+\s+)?(?:سأل|قال|صاح|أجاب|همس|صرخ|هتف|سألت|قالت|صاحت|أجابت)\b(?![^.!?؟\n]{0,40}:)",  # Arabic
     rf"{_phrase('“”')}(?:पूछा|कहा|बोला|बोली|चिल्लाया|चिल्लाई|उत्तर दिया)(?!\s*[,:])",  # Hindi
     rf"{_phrase('“”')}(?:پوچھا|کہا|بولا|بولی|چلایا)(?!\s*[،,:])",  # Urdu
     rf"{_phrase('；“”「」', DOT_INSIDE)}(?:问道|問道|说道|說道|说|說|喊道|叫道|答道|回答|笑道|写道|寫道)(?=[。，；！？])",  # Chinese
@@ -87,85 +113,99 @@ SAYING_AFTER = (
 )
 
 CAPITAL = r"[\p{Lu}\p{Lt}]"
-OPENING = r"[“”\"«‹„‚‘'(\[（「『《【¿¡—–-]"
-#: A letter of a script without capitals.
-CASELESS = r"[\p{Lo}]"
-STARTS = rf"\s*{OPENING}*\s*(?:{CAPITAL}|{CASELESS})"
+OPENING = r"[“”\"«»‹„‚‘'(\[（「『《【¿¡—–-]"
+CLOSING = "”’'»›)\\]）］」』》〉】}"
+#: They close only what they have opened: German and straight quotation marks.
+CLOSING_IF_OPENED = "“\"«"
+EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]"
+#: Further marks, and the characters of the signs, between a mark and its place. One set, since looking back over repeated groups is slow.
+BEHIND = rf"[{MARKS}]*[{CLOSING}{CLOSING_IF_OPENED}\[\p{{N}}\s{EMOJI[1:-1]}]*"
+BEFORE_CAPITAL = rf"\s++(?:{OPENING}++\s*+)?{CAPITAL}"
+#: One capital before a full stop.
+INITIAL = r"(?<![\p{L}\p{M}\p{N}'’])(?!I\.)\p{Lu}\."
 
 
-def _words(lists: dict[str, str], *languages: str) -> str:
-    found = dict.fromkeys(w for language in languages for w in lists.get(language, "").split())
+def _any(words: list[str]) -> str:
     # parts of an abbreviation may be set apart by a blank: "z. B."
-    return "|".join(w.replace(".", r"\.\s?") for w in sorted(found, key=len, reverse=True))
+    return "|".join(w.replace(".", r"\.\s?") for w in sorted(dict.fromkeys(words), key=len, reverse=True))
 
 
-def _abbreviations(*languages: str) -> list[tuple[bool, str, str]]:
+def _abbreviations(language: str) -> list[tuple[bool, str, str, str]]:
     edge = r"(?<![\p{L}\p{M}\p{N}])"
+    titles, numbered, inner, ending = (kind.get(language, "").split() for kind in (TITLES, NUMBERED, INNER, ENDING))
     rules = []
-    if titles := _words(TITLES, *languages):
-        rules.append((KEEP, rf"{edge}(?:{titles})\.", r"\s*\p{L}"))
-    if numbered := _words(NUMBERED, *languages):
-        rules.append((KEEP, rf"{edge}(?:{numbered})\.", r"\s*[\p{N}§]"))
-    if inner := _words(INNER, *languages):
-        rules.append((KEEP, rf"{edge}(?:{inner})\.", r"\s*\S"))
-    if ending := _words(ENDING, *languages):
-        rules.append((BREAK, rf"{edge}(?:{ending})\.\P{{L}}*", rf"\s+{OPENING}*\s*{CAPITAL}"))
-        rules.append((KEEP, rf"{edge}(?:{ending})\.", r"\s*\p{Ll}"))
+    if titles:
+        rules.append((KEEP, ".", rf"{edge}(?:{_any(titles)})\.", r"\s*\p{L}"))
+    if numbered:
+        rules.append((KEEP, ".", rf"{edge}(?:{_any(numbered)})\.", r"\s*(?:[\p{N}§]|(?:[IVXLC]{2,}|[VX])\b)"))
+    if inner:
+        rules.append((KEEP, ".", rf"{edge}(?:{_any(inner)})\.", r"\s*\S"))
+    for parts in (w.split(".") for w in dict.fromkeys(inner + ending) if "." in w):
+        for k in range(1, len(parts)):
+            rules.append((KEEP, ".", rf"{edge}{_any(['.'.join(parts[:k])])}\.", rf"\s?{_any(['.'.join(parts[k:])])}\."))
+    if ending:
+        rules.append((BREAK, ".", rf"{edge}(?:{_any(ending)})\.{BEHIND}", BEFORE_CAPITAL))
+        rules.append((KEEP, ".", rf"{edge}(?:{_any(ending)})\.", r"\s*\p{Ll}"))
+    if language in OPENERS:
+        other = rf"|(?:{_any([w for w in numbered if len(w) > 1])})\." if numbered else ""
+        rules.append((BREAK, ".", INITIAL, rf"\s+{OPENING}*(?:(?:{_any(OPENERS[language].split())})\b{other})"))
     return rules
 
 
-TABLES: dict[str, list[tuple[bool, str, str]]] = {
+#: Each rule: the decision, the marks it is about (none: all), what stands before its place, what behind it.
+TABLES: dict[str, list[tuple[bool, str, str, str]]] = {
     "first": [
-        (KEEP, f"[{STOPS}]", r"\S"),
-        (KEEP, r"\.", r"[\p{Ll}\p{N}_/\\@]"),  # decimals, addresses, file names
-        (KEEP, r"", r"\s*[,;:،؛，；：、]"),  # the sentence goes on
-        (KEEP, r"", r"\s*[—–-]+\s*\p{Ll}"),  # who speaks, behind a dash
+        (KEEP, STOPS, f"[{STOPS}]", r"\S"),
+        (KEEP, ".", r"\.", r"[\p{Ll}\p{N}_/\\@]"),  # decimals, addresses, file names
+        (KEEP, "", r"", r"\s*[,;:،؛，；：、]"),  # the sentence goes on
+        (KEEP, "", r"", r"\s*+[—–-]++\s*+\p{Ll}"),  # who speaks, behind a dash
     ],
     "marks": [
-        (BREAK, r"(?:!!|\?\?)", r"\s"),  # repeated marks end even an informal sentence
-        (KEEP, r"(?:\.\.+|…)\P{L}*", r"\s*(?:\p{Ll}|\p{Lo})"),  # a pause
-        (KEEP, r"[!?]\P{L}*", r"\s*\p{Ll}"),  # a name with a mark
-        (BREAK, r"[!?…]\P{L}*|\.\.+\P{L}*", r""),
+        (BREAK, "!?", r"(?:!!|\?\?)", r"\s"),  # repeated marks end even an informal sentence
+        (KEEP, ".…", rf"(?:\.\.+|…){BEHIND}", r"\s*(?:\p{Ll}|\p{Lo})"),  # a pause
+        (KEEP, "!?", rf"[!?]{BEHIND}", r"\s*\p{Ll}"),  # a name with a mark
+        (BREAK, ".!?…", rf"(?:[!?…]|\.\.+){BEHIND}", r""),
     ],
     "english": [
-        (KEEP, r"\b(?:At|By|Around|About|Before|After|Until|Since)\s+\p{N}{1,2}(?::\p{N}{2})?\s*[ap]\.\s?m\.", r"\s+\p{Lu}"),  # opens its sentence
-        (KEEP, r"(?<![\p{L}\p{M}'’])(?:\p{Lu}\.){2,}", rf"\s+(?!(?:The|This|That|These|It|He|She|They|We|In|On|At|But|And|When|Who|Nobody|There)\b){CAPITAL}"),
+        (KEEP, ".", r"\b(?:At|By|Around|About|Before|After|Until|Since)\s+\p{N}{1,2}(?::\p{N}{2})?\s*[ap]\.\s?m\.", r"\s+\p{Lu}"),  # opens its sentence
+        (KEEP, ".", r"(?<![\p{L}\p{M}'’])(?:\p{Lu}\.){2}", rf"\s+(?!(?:{_any(OPENERS['english'].split())})\b){CAPITAL}"),
         *_abbreviations("english"),
     ],
     "german": [
-        (KEEP, rf"(?i:\b(?:{GERMAN_BEFORE_ORDINALS.replace(' ', '|')}))\s+\p{{N}}{{1,3}}\.", r"\s+\p{Lu}"),
-        (KEEP, r"\b\p{N}{1,2}\.", rf"\s+(?:{MONTHS.replace(' ', '|')})\b"),
+        (KEEP, ".", rf"(?i:\b(?:{GERMAN_BEFORE_ORDINALS.replace(' ', '|')}))\s+\p{{N}}{{1,3}}\.", r"\s+\p{Lu}"),
+        (KEEP, ".", r"\b\p{N}{1,2}\.", rf"\s+(?:{MONTHS.replace(' ', '|')})\b"),
         *_abbreviations("german"),
     ],
     "french": _abbreviations("french"),
     "spanish": _abbreviations("spanish"),
     "russian": [
-        (BREAK, r"\p{N}\s*(?:г|гг|в|вв)\.", rf"\s+{OPENING}*\s*{CAPITAL}"),  # year and century, not town
+        (BREAK, ".", r"\p{N}\s*(?:г|гг|в|вв)\.", BEFORE_CAPITAL),  # year and century, not town
         *_abbreviations("russian"),
     ],
     "greek": _abbreviations("greek"),
-    "thai": [(KEEP, r"\.", r"")],  # only abbreviations have one
-    "armenian": [(KEEP, r"\.", r"")],  # has a full stop of its own
-    "arabic": [(KEEP, r"(?<![\p{L}\p{M}])\p{Arabic}\.", r"\s*\S")],  # one letter is an abbreviation
-    "indic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,3}\.)+", r"\s*\S"), *_abbreviations("hindi")],
-    "ethiopic": [(KEEP, r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]{1,2}\.)+", r"\s*\S")],
+    "thai": [(KEEP, ".", r"\.", r"")],  # only abbreviations have one
+    "armenian": [(KEEP, ".", r"\.", r"")],  # has a full stop of its own
+    "arabic": [(KEEP, ".", r"(?<![\p{L}\p{M}])\p{Arabic}\.", r"\s*\S")],  # one letter is an abbreviation
+    "indic": [(KEEP, ".", r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,3}\.", r"\s*\S"), *_abbreviations("hindi")],
+    "ethiopic": [(KEEP, ".", r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,2}\.", r"\s*\S")],
     "numbers": [
-        (KEEP, r"(?:\A|\n)[^\S\n]*[\ufeff]?\(?(?:\p{N}{1,4}|\p{L}|[ivxIVX]+)\.", r"\s"),  # number of a list
+        (KEEP, ".", r"(?:\A|\n)[^\S\n]*[\ufeff]?\(?(?:\p{N}{1,4}|\p{L}|[ivxIVX]+)\.", r"\s"),  # number of a list
     ],
     "initials": [
-        (KEEP, r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,2}\.", r"\s*\p{Ll}"),  # short and unknown
-        (KEEP, r"\p{N}\.", r"\s*\p{Ll}"),
-        (KEEP, r"(?<![\p{L}\p{M}\p{N}'’])(?!I\.)\p{Lu}\.", rf"\s*{CAPITAL}"),
+        (KEEP, ".", r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,2}\.", r"\s*\p{Ll}"),  # short and unknown
+        (KEEP, ".", r"\p{N}\.", r"\s*\p{Ll}"),
+        (KEEP, ".", INITIAL, rf"\s*{CAPITAL}"),
     ],
     "last": [
-        (BREAK, r"\.\P{L}*", r"\s"),
-        (BREAK, r"[\p{L}\p{M}\p{N})\]]\.\P{L}*", rf"{OPENING}*{CAPITAL}"),  # the blank is missing
-        (KEEP, r"\.\P{L}*", r""),
-        (BREAK, r"", r""),
+        (BREAK, ".", rf"\.{BEHIND}", r"\s"),
+        (BREAK, ".", rf"[\p{{L}}\p{{M}}\p{{N}})\]]\.{BEHIND}", rf"{OPENING}*+{CAPITAL}"),  # the blank is missing
+        (KEEP, ".", rf"\.{BEHIND}", r""),
+        (BREAK, "", r"", r""),
     ],
 }
 
-#: Tables for the script of the letter before the place, in the order in which they are asked.
+#: Tables for the script of the letter before the place, in the order in which they are asked; of those in ``LANGUAGES`` only
+#: the one of the sentence's language, if that can be told.
 CASCADES: dict[str, tuple[str, ...]] = {
     "latin": ("numbers", "first", "marks", "english", "german", "french", "spanish", "initials", "last"),
     "cyrillic": ("numbers", "first", "marks", "russian", "initials", "last"),
@@ -178,8 +218,7 @@ CASCADES: dict[str, tuple[str, ...]] = {
     "other": ("numbers", "first", "marks", "initials", "last"),
 }
 
-CLOSING = "”’'»›)\\]）］」』》〉】}"
-#: They close only what they have opened: German and straight quotation marks.
-CLOSING_IF_OPENED = "“\""
+LANGUAGES = ("english", "german", "french", "spanish")
+
 #: Scripts with neither full stop nor a mark of their own.
 UNMARKED = r"\p{Thai}\p{Lao}"

@@ -1,8 +1,12 @@
 """Sentence boundaries across languages and scripts.
 
 Method: ordered pairs of break and no-break expressions in cascading tables (``sentence_rules``). A text is
-cut into units at blank lines; in a unit every place behind a mark is put to the tables of its script, the first rule that matches deciding. Quotations and brackets that their
-sentence carries beyond are found first, and no place inside them counts.
+cut into units at blank lines; in a unit every place behind a mark is put to the tables of its script and of the language of its sentence, the first rule that matches deciding.
+Quotations and brackets that their sentence carries beyond are found first, and no place inside them counts.
+
+The language of a sentence, where it matters, is the one most of whose frequent words stand in it; if they do not tell, those up to the next mark
+are counted too; if these do not tell either, the tables of all languages of the script are asked. Other sentences of the paragraph
+do not count, since they may be in another language.
 """
 
 from __future__ import annotations
@@ -21,21 +25,22 @@ from pyspark.sql import functions as F
 from tallyloom.llm import sentence_rules as R
 from tallyloom.session import ship
 
-EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]"
+EMOJI = R.EMOJI
 BLANK_LINES = re.compile(r"(?:\r\n|\n|\r(?!\n)|\u2029)[^\S\r\n]*[\r\n\u2029]\s*|\u2029")
-TAIL = rf"(?:[^\S\n]?»|[{R.CLOSING}])*(?:\[\p{{N}}{{1,3}}\])*(?:\s?{EMOJI}+)?"
+TAIL = rf"(?:[^\S\n]»(?![\p{{L}}\p{{N}}])|[{R.CLOSING}])*(?:\[\p{{N}}{{1,3}}\])*(?:\s?{EMOJI}+)?"
 #: A mark or several (Tibetan ones also set apart by a blank), then what belongs to it: closing signs, note numbers, emoji.
 PLACE = regex.compile(rf"(?:[{R.MARKS}]|(?<=\p{{Greek}}\p{{M}}*);)[{R.MARKS}]*(?:(?<=[{R.SHADS}])[^\S\r\n]+[{R.SHADS}]+)*{TAIL}")
 MORE = regex.compile(TAIL)
 SPANS = regex.compile(
-    r"(?=[„“«‘\"「『《（(\[【])(?:„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|‘(?:[^‘’]|’(?=\p{L}))*’(?!\p{L})|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|《[^《》]*》|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】)"
+    r"(?=[„“«»‘\"「『《（(\[【])(?:„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|(?<![^\s(\[—–-])»(?=\S)[^«»]*«|‘(?:[^‘’]|’(?=\p{L}))*+’(?!\p{L})|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|《[^《》]*》|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】)"
 )
-OPENS = re.compile("[„“«‘\"「『《（(\\[【]")
+OPENS = re.compile("[„“«»‘\"「『《（(\\[【]")
 BRACKETS = "([（【"
 GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]|\s*(?:I|He|She|We|They|{R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b")
 SAID_AFTER = regex.compile("|".join(rf"(?:\s*{p})" for p in R.SAYING_AFTER))
+GREEK_QUESTION = regex.compile(r"\p{Greek};")
 ATTACHED = regex.compile(r"(?:\p{Hangul}|\p{Hiragana})|\s?(?:하고|라고)")
-CAPITAL_NEXT = regex.compile(rf"\s*{R.OPENING}*\s*{R.CAPITAL}")
+CAPITAL_NEXT = regex.compile(rf"\s*+(?:{R.OPENING}++\s*+)?{R.CAPITAL}")
 UNMARKED_SPACE = regex.compile(rf"(?<=[{R.UNMARKED}{R.CLOSING}])[^\S\r\n]+(?=[^\s])")
 #: The same scripts as a plain range, to ask quickly whether there are any.
 HAS_UNMARKED = re.compile("[\u0e00-\u0eff]")
@@ -64,21 +69,58 @@ def script_of(letter: str) -> str:
 
 
 @functools.cache
-def rules_for(script: str, mark: str) -> list[tuple[bool, regex.Pattern]]:
-    """The cascade of a script as one list of rules that look back and ahead from a place behind ``mark``.
-
-    Rules about another mark are left out.
+def cascade(script: str, mark: str, language: str | None = None) -> tuple[regex.Pattern, list[tuple[bool, bool]]]:
+    """The rules of a script about ``mark`` as one expression, whose alternatives are tried in order, and of each its
+    decision and whether it belongs to a language. With a ``language`` the tables of the others are left out.
     """
-
-    def about(before: str) -> bool:
-        return not before or (mark == "." and r"\." in before) or (mark in "!?" and "!" in before) or (mark == "…" and "…" in before) or (mark in R.STOPS and mark in before)
-
-    return [
-        (end, regex.compile((f"(?<={before})" if before else "") + (f"(?={after})" if after else "")))
+    asked = [
+        (name in R.LANGUAGES, rule)
         for name in R.CASCADES[script]
-        for end, before, after in R.TABLES[name]
-        if about(before)
+        if language is None or name == language or name not in R.LANGUAGES
+        for rule in R.TABLES[name]
+        if not rule[1] or mark in rule[1]
     ]
+    # what stands behind is looked at first: it is short, and mostly decides
+    either = "|".join((f"(?={after})" if after else "") + (f"(?<={before})" if before else "") + "()" for _, (_, _, before, after) in asked)
+    return regex.compile(either), [(rule[0], spoken) for spoken, rule in asked]
+
+
+WORD = re.compile(r"[^\W\d_]+")
+SPOKEN_BY: dict[str, list[int]] = {}
+for _number, _language in enumerate(R.LANGUAGES):
+    for _word in R.FREQUENT[_language].split():
+        SPOKEN_BY.setdefault(_word, []).append(_number)
+
+
+class Languages:
+    """The language of each sentence of a unit, by counting frequent words once."""
+
+    def __init__(self, unit: str) -> None:
+        self.unit, self.begin, self.at = unit, 0, 0
+        self.counts = [0] * len(R.LANGUAGES)
+
+    def count(self, counts: list[int], begin: int, end: int) -> None:
+        for word in WORD.findall(self.unit, begin, end):
+            # one capital alone is rather an initial
+            for number in SPOKEN_BY.get(word if len(word) == 1 else word.lower(), ()):
+                counts[number] += 1
+
+    def at_place(self, begin: int, at: int, next_mark: int) -> str | None:
+        """Of the sentence from ``begin``, read up to ``at``; None if it cannot be told. Both only grow from call to call."""
+        if begin != self.begin:
+            self.begin = self.at = begin
+            self.counts = [0] * len(R.LANGUAGES)
+        self.count(self.counts, self.at, at)
+        self.at = at
+        if (best := self.best(self.counts)) is not None:
+            return best
+        ahead = list(self.counts)
+        self.count(ahead, at, next_mark)
+        return self.best(ahead)
+
+    def best(self, counts: list[int]) -> str | None:
+        most = max(counts)
+        return R.LANGUAGES[counts.index(most)] if most and counts.count(most) == 1 else None
 
 
 def _carried(unit: str, begin: int, end: int, lower: int) -> bool:
@@ -86,7 +128,7 @@ def _carried(unit: str, begin: int, end: int, lower: int) -> bool:
     before = unit[max(lower, begin - 8) : begin].rstrip()
     inside = unit[begin + 1 : end - 1].rstrip()
     last = inside[-1:]
-    marked = bool(last) and last in R.MARKS or last == ";" and regex.search(r"\p{Greek};$", inside) is not None
+    marked = bool(last) and last in R.MARKS or last == ";" and GREEK_QUESTION.fullmatch(inside[-2:]) is not None
     starts = not before or before[-1] in R.MARKS or before[-1] in "”»’\"）)]」』" or regex.match(EMOJI, before[-1]) is not None
     if not marked:
         return True
@@ -118,21 +160,24 @@ def _guarded(unit: str, closed: set[int], lower: int = 0, upper: int | None = No
     return spans
 
 
-def _before(unit: str, at: int) -> str:
-    """The last letter before a place, if there is one."""
-    while at and not unit[at - 1].isalpha():
-        at -= 1
-    return unit[at - 1] if at else ""
-
-
 def _ends(unit: str) -> list[int]:
     """Places in a unit at which a sentence ends, but for its own end."""
     closed: set[int] = set()
     spans = _guarded(unit, closed) if OPENS.search(unit) else []
     starts = [a for a, _ in spans]
-    ends = []
-    for found in PLACE.finditer(unit):
+    ends: list[int] = []
+    languages = Languages(unit)
+    read, letter = 0, ""
+    found = PLACE.search(unit)
+    while found:
         at, mark, place = found.start(), unit[found.start()], found.end()
+        following = PLACE.search(unit, place)
+        k = at
+        while k > read and not unit[k - 1].isalpha():
+            k -= 1
+        if k > read:
+            letter = unit[k - 1]
+        read, found = at, following
         while place + 1 in closed and unit[place] in R.CLOSING_IF_OPENED:
             place = MORE.match(unit, place + 1).end()
         k = bisect_right(starts, at) - 1
@@ -144,11 +189,14 @@ def _ends(unit: str) -> list[int]:
         if mark in R.SURE:
             ends.append(place)
             continue
-        for end, rule in rules_for(script_of(_before(unit, at)), "?" if mark == ";" else mark):
-            if rule.match(unit, place):
-                if end:
-                    ends.append(place)
-                break
+        script, mark = script_of(letter) if letter else "other", "?" if mark == ";" else mark
+        rules, decisions = cascade(script, mark)
+        end, spoken = decisions[rules.match(unit, place).lastindex - 1]
+        if spoken and (language := languages.at_place(ends[-1] if ends else 0, at, following.start() if following else len(unit))):
+            rules, decisions = cascade(script, mark, language)
+            end, _ = decisions[rules.match(unit, place).lastindex - 1]
+        if end:
+            ends.append(place)
     if HAS_UNMARKED.search(unit):
         for found in UNMARKED_SPACE.finditer(unit):
             at = found.start()

@@ -130,6 +130,72 @@ def test_long_texts_take_linear_time():
     assert len(sentence_ends("!" * 10**6)) == 1
 
 
+GROWING = {
+    "numbers": "12.5 7.25 ",
+    "list numbers": "3. 4! 5? ",
+    "dots": ". ",
+    "quoted dots": '"." ',
+    "closing signs": ".”)",
+    "capitals": "A.",
+    "initials": "A. ",
+    "Indic letters": "क.",
+    "titles": "Mr. ",
+    "table": "| 1.5 | 2.5 | 3.5! |\n",
+    "notes": "[1]",
+    "emoji": "🎉. ",
+    "Thai": "ก.",
+    "quotations": "“a!”b",
+    "nested": '("«a. b.»." )',
+    "apostrophes": "’b",
+    "abbreviations": "z. B. ",
+    "mixed": "It fell (at 5.5, “so!”) in 1. Nr. 7 «etc.» …3 ",
+}
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_time_grows_with_the_text(name):
+    """Twice the text takes about twice the time."""
+
+    def seconds(size):
+        text = "Word. ‘x “" + GROWING[name] * (size // len(GROWING[name]))
+        begin = time.process_time()
+        sentence_ends(text)
+        return time.process_time() - begin
+
+    half, whole = min(seconds(100_000) for _ in range(2)), min(seconds(200_000) for _ in range(2))
+    assert whole < 5 and whole < 2.4 * half + 0.2
+
+
+def test_a_megabyte_of_numbers():
+    begin = time.process_time()
+    sentence_ends("Word " + "12.5 7.25 3. 4! " * 65536)
+    assert time.process_time() - begin < 20
+
+
+@pytest.mark.parametrize("blanks", [" ", "\u00a0"])
+def test_long_blanks_and_dashes(blanks):
+    begin = time.process_time()
+    assert sentence_ends("It fell." + blanks * 10**6 + "It rose." + "-" * 10**6) == [8, 2 * 10**6 + 16]
+    assert time.process_time() - begin < 20
+
+
+@pytest.mark.parametrize(
+    "case",
+    [
+        "He takes vitamin D.| It helps.",
+        "Solve for c.| Then add p.| It works.",
+        "He sold the firm to M.| Nobody cared.",
+        "Plan S.| Nr. 5 gilt.",
+        "It was built c. 1850 by M. Smith and D. Jones of the U.S. Army.",
+        "Il vit M. Zapa et Me. Nolo.| El libro de D. Zapa y D. Nolo.",
+        "It fell. Dr. Zade kam z. B. am 3. Mai.| Vgl. Bd. 2, S. 61, zum Garten.| It rose.".replace("fell. Dr", "fell.| Dr"),
+        "»Es fiel.« Er ging.| »Es fiel«, sagte er.| Er fragte: »Wer kam?«".replace("fiel.« Er", "fiel.«| Er"),
+    ],
+)
+def test_language_of_the_sentence(case):
+    assert cut(case.replace("|", "")) == [p.strip() for p in case.split("|")]
+
+
 def test_rows(spark):
     data = [(1, "It fell. It rose.", "xx", "clash"), (2, None, None, "clash"), (3, "", "en", "clash"), (4, " ", "en", "clash"), (5, "It fell. It rose.", "th", "clash"), (None, "No id.", "en", "clash")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, k string")
