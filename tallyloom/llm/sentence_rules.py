@@ -219,6 +219,15 @@ CASCADES: dict[str, tuple[str, ...]] = {
 }
 
 LANGUAGES = ("english", "german", "french", "spanish")
+#: Tables that say something about a word of three letters or more before a full stop, unless it ends like a word of theirs.
+ABOUT_EVERY_WORD = ("first", "marks", "last")
+#: The last three letters of all abbreviations and Roman numerals: behind a word that ends otherwise, the tables of
+#: ``ABOUT_EVERY_WORD`` decide alone.
+SHORT_ENDS = {part[-3:] for kind in (TITLES, NUMBERED, INNER, ENDING) for words in kind.values() for w in words.split() for part in w.split(".")} | {
+    a + b + c for a in "ivxIVX" for b in "ivxIVX" for c in "ivxIVX"
+}
+#: Scripts where a full stop behind any word can be no end, or whose abbreviations have three letters.
+NEVER_PLAIN = ("thai", "armenian", "indic")
 
 #: Scripts with neither full stop nor a mark of their own.
 UNMARKED = r"\p{Thai}\p{Lao}"

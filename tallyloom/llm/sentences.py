@@ -69,14 +69,15 @@ def script_of(letter: str) -> str:
 
 
 @functools.cache
-def cascade(script: str, mark: str, language: str | None = None) -> tuple[regex.Pattern, list[tuple[bool, bool]]]:
+def cascade(script: str, mark: str, language: str | None = None, plain: bool = False) -> tuple[regex.Pattern, list[tuple[bool, bool]]]:
     """The rules of a script about ``mark`` as one expression, whose alternatives are tried in order, and of each its
-    decision and whether it belongs to a language. With a ``language`` the tables of the others are left out.
+    decision and whether it belongs to a language. With a ``language`` the tables of the others are left out, for a ``plain`` word all that
+    are not about every word.
     """
     asked = [
         (name in R.LANGUAGES, rule)
         for name in R.CASCADES[script]
-        if language is None or name == language or name not in R.LANGUAGES
+        if (language is None or name == language or name not in R.LANGUAGES) and (not plain or name in R.ABOUT_EVERY_WORD)
         for rule in R.TABLES[name]
         if not rule[1] or mark in rule[1]
     ]
@@ -85,6 +86,11 @@ def cascade(script: str, mark: str, language: str | None = None) -> tuple[regex.
     return regex.compile(either), [(rule[0], spoken) for spoken, rule in asked]
 
 
+def is_plain(last: str, script: str) -> bool:
+    """Whether the last three characters before a full stop show that its word is no abbreviation, numeral or initial."""
+    return len(last) == 3 and last.isalpha() and last not in R.SHORT_ENDS and script not in R.NEVER_PLAIN
+
+
 WORD = re.compile(r"[^\W\d_]+")
 SPOKEN_BY: dict[str, list[int]] = {}
 for _number, _language in enumerate(R.LANGUAGES):
@@ -190,7 +196,7 @@ def _ends(unit: str) -> list[int]:
             ends.append(place)
             continue
         script, mark = script_of(letter) if letter else "other", "?" if mark == ";" else mark
-        rules, decisions = cascade(script, mark)
+        rules, decisions = cascade(script, mark, None, mark == "." and is_plain(unit[max(0, at - 3) : at], script))
         end, spoken = decisions[rules.match(unit, place).lastindex - 1]
         if spoken and (language := languages.at_place(ends[-1] if ends else 0, at, following.start() if following else len(unit))):
             rules, decisions = cascade(script, mark, language)

@@ -1,9 +1,12 @@
+import random
 import time
 
 import pytest
 import regex
 from rows import rows
 
+from tallyloom.llm import sentence_rules as R
+from tallyloom.llm import sentences as S
 from tallyloom.llm.sentence_rules import MARKS
 from tallyloom.llm.sentences import sentence_ends, split_sentences
 
@@ -196,6 +199,18 @@ def test_language_of_the_sentence(case):
     assert cut(case.replace("|", "")) == [p.strip() for p in case.split("|")]
 
 
+def test_plain_words_need_no_other_tables(monkeypatch):
+    """The shortcut for ordinary words gives what all tables give."""
+    draw = random.Random(4)
+    listed = [w for kind in (R.TITLES, R.NUMBERED, R.INNER, R.ENDING) for words in kind.values() for w in words.split()]
+    bits = [*listed, "xii", "VIII", "word", "Wort", "тоже", "λόγος", "said", "нет", "ኪሎ", "क", "ص", "U.S", "12", "a", "B", "e\u0301"]
+    joins = [". ", ". ", ".", " ", ".\n", '." ', ". 5", ".) ", " (", "… "]
+    texts = ["".join(draw.choice(bits) + draw.choice(joins) for _ in range(40)) for _ in range(1500)] + [c.replace("|", "") for c in CASES]
+    short = [sentence_ends(t) for t in texts]
+    monkeypatch.setattr(S, "is_plain", lambda last, script: False)
+    assert short == [sentence_ends(t) for t in texts]
+
+
 def test_rows(spark):
     data = [(1, "It fell. It rose.", "xx", "clash"), (2, None, None, "clash"), (3, "", "en", "clash"), (4, " ", "en", "clash"), (5, "It fell. It rose.", "th", "clash"), (None, "No id.", "en", "clash")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, k string")
