@@ -7,73 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.tokens import tokens
-from tallyloom.operators.numbering import numbered, sized
+from tallyloom.operators import pairing
 from tallyloom.operators.skew import lookup
-from tallyloom.operators.wordcount import line_frequency, word_count
+from tallyloom.operators.wordcount import word_count
 from tallyloom.session import cut
 
+#: Partners of a term in one row of its stripe, about.
+STRIPE_ITEMS = 65_536
 
-def dictionary(lines: DataFrame, min_count: int, style: str = "java") -> DataFrame:
-    """(term, df, code): the terms in at least ``min_count`` lines, numbered in the order of code points; a written table."""
-    return numbered(line_frequency(lines, style).where(F.col("df") >= min_count), "term")
 
-
-def _coded_pairs(lines: DataFrame, terms: DataFrame, min_count: int, style: str) -> DataFrame:
-    """(x_code, y_code, pairs), x_code < y_code.
-
-    A line becomes the ascending numbers of its frequent terms, and a pair one 64-bit number, before the shuffle that
-    counts. No line is joined with another: its pairs come from its own array.
-    """
-    found = lines.select("docno", F.explode(F.array_distinct(tokens(F.col("line"), style))).alias("term"))
-    held = lookup(found, terms.select("term", "df", "code"), "term", "df").groupBy("docno").agg(F.sort_array(F.collect_list("code")).alias("t"))
-    left = held.select("t", F.posexplode("t").alias("i", "x")).select("x", F.slice("t", F.col("i") + 2, F.size("t")).alias("rest"))
-    codes = left.select("x", F.explode("rest").alias("y")).select(F.shiftleft("x", 32).bitwiseOR(F.col("y")).alias("c"))
-    counted = codes.groupBy("c").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= min_count)
-    return counted.select(F.shiftright("c", 32).alias("x_code"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y_code"), "pairs")
-
-
-def _named(coded: DataFrame, terms: DataFrame, *values: str) -> DataFrame:
-    """Pairs of codes with the terms and ``values`` of either side, prefixed by x_ and y_."""
-    for side in ("x", "y"):
-        names = [F.col("code").alias(f"{side}_code"), F.col("term").alias(side), *[F.col(v).alias(f"{side}_{v}") for v in values]]
-        coded = coded.join(terms.select(*names), f"{side}_code")
-    return coded
+def _records(lines: DataFrame, style: str) -> DataFrame:
+    return pairing.written_records(lines.select("docno", tokens(F.col("line"), style).alias("items")))
 
 
 def pair_counts(lines: DataFrame, min_count: int = 10, style: str = "java") -> DataFrame:
     """(x, y, pairs): x < y by code points and the number of lines that hold both, if at least ``min_count``.
 
-    ``lines`` (docno, line) has one row for each docno; null and blank lines hold nothing. A pair can only reach ``min_count`` if both its
+    ``lines`` (docno, line) has one row for each docno; null and blank lines hold nothing, rows without a docno are left out. A pair can only reach ``min_count`` if both its
     terms do, so the others leave the lines before any pair is made.
     """
-    terms = dictionary(lines, min_count, style)
-    return _named(_coded_pairs(lines, terms, min_count, style), sized(terms)).select("x", "y", "pairs")
+    held = _records(lines, style)
+    frequent = cut(pairing.item_counts(held).where(F.col("n") >= min_count))
+    return pairing.count_pairs(held, frequent, min_count).select("x", "y", "pairs")
 
 
 def pmi(lines: DataFrame, min_count: int = 10, marginals: str = "df", style: str = "java") -> DataFrame:
     """(x, y, pairs, pmi): log10 of how much more often a pair shares a line than chance would have it.
 
     ``marginals``: "df" takes the number of lines that hold a term, "cf" the number of its occurrences. The number
-    of lines counts all lines given, blank ones too.
+    of lines counts all lines with a docno, blank ones too.
     """
     if marginals not in ("df", "cf"):
         raise ValueError(f"marginals must be df or cf, not {marginals!r}")
-    terms = dictionary(lines, min_count, style)
+    held = _records(lines, style)
+    frequent = pairing.item_counts(held).where(F.col("n") >= min_count)
     if marginals == "cf":
-        counts = word_count(lines, style).select("term", F.col("count").alias("cf"))
-        terms = cut(terms.join(counts, "term"))
-    total = lines.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    both = _named(_coded_pairs(lines, terms, min_count, style), sized(terms), marginals)
-    cx, cy = F.col(f"x_{marginals}"), F.col(f"y_{marginals}")
-    return both.select("x", "y", "pairs", F.log10((F.col("pairs") / total) / ((cx / total) * (cy / total))).alias("pmi"))
+        # a term is in min_count lines only if it occurs as often
+        occurrences = word_count(lines, style).select(F.col("term").alias("item"), F.col("count").alias("n")).where(F.col("n") >= min_count)
+        frequent = frequent.select("item").join(occurrences, "item")
+    total = held.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    both = pairing.count_pairs(held, cut(frequent), min_count)
+    return both.select("x", "y", "pairs", F.log10((F.col("pairs") / total) / ((F.col("x_n") / total) * (F.col("y_n") / total))).alias("pmi"))
 
 
-def stripes(scored: DataFrame, value: str = "pmi") -> DataFrame:
-    """(x, stripe): for each left term a map from right term to value.
+def stripes(scored: DataFrame, value: str = "pmi", items: int = STRIPE_ITEMS) -> DataFrame:
+    """(x, block, stripe): for each left term maps from right term to value.
 
-    For presentation: a stripe holds all partners of a term in one row; computing stays with pairs.
+    A term with more than ``items`` partners has several blocks, over which a hash of the right term spreads them, so that no
+    row holds all partners of a term however many there are.
     """
-    return scored.groupBy("x").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("y", value)))).alias("stripe"))
+    scored = cut(scored.select("x", "y", value))
+    partners = cut(scored.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    if (partners.agg(F.max("n")).first()[0] or 0) <= items:
+        placed = scored.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        blocks = F.ceil(F.col("n") / F.lit(items)).cast("bigint")
+        placed = lookup(scored, partners, "x", "n").withColumn("block", F.pmod(F.xxhash64("y"), blocks))
+    return placed.groupBy("x", "block").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("y", value)))).alias("stripe"))
 
 
 def top_pair(scored: DataFrame, digits: int = 6) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.session import cut
 
-#: Largest number of rows that ``sized`` lets a join broadcast (some 100 bytes each in memory).
+#: Largest table that a join may broadcast: rows, and bytes of its values.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def numbered(df: DataFrame, key: str, name: str = "code") -> DataFrame:
@@ -29,7 +31,27 @@ def numbered(df: DataFrame, key: str, name: str = "code") -> DataFrame:
     return placed.join(first, "_part").withColumn(name, F.col("_row") + F.col("_first")).drop("_part", "_row", "_first")
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is. ``rows``: their number, if known."""
-    few = (df.limit(limit + 1).count() if rows is None else rows) <= limit
-    return F.broadcast(df) if few else df
+def value_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row's values: lengths of texts, 8 for a number, and of nested values their text."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+        else:
+            total = total + 8
+    return total
+
+
+def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether a count shows that ``df`` has at most ``rows`` rows and ``size`` bytes of values. It stops soon after the bound."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value_bytes(df)), F.lit(0)).alias("b")).first()
+    return found.n <= rows and found.b <= size
+
+
+def sized(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if ``is_small`` says so, else as it is."""
+    return F.broadcast(df) if is_small(df, rows, size) else df

@@ -30,3 +30,13 @@ def partition_sizes(nodes: DataFrame, node_count: int, n: int) -> DataFrame:
 def place_by_range(nodes: DataFrame, node_count: int, n: int) -> DataFrame:
     """The same rows, physically placed by ``range_partition``."""
     return nodes.repartitionById(n, range_partition(F.col("node_id"), node_count, n))
+
+
+def place_by_hash(nodes: DataFrame, n: int) -> DataFrame:
+    """The same rows, physically placed by ``hash_partition``. Rows without an id go to partition 0."""
+    return nodes.repartitionById(n, F.coalesce(hash_partition(F.col("node_id"), n), F.lit(0)))
+
+
+def placed_sizes(placed: DataFrame, scheme: str) -> DataFrame:
+    """(scheme, part, nodes): how many nodes lie in each partition of a placed table that has any."""
+    return placed.select(F.lit(scheme).alias("scheme"), F.spark_partition_id().alias("part")).groupBy("scheme", "part").agg(F.count(F.lit(1)).alias("nodes"))

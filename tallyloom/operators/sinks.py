@@ -21,11 +21,13 @@ def write_sorted(df: DataFrame, path: str, key: str, *then: str) -> None:
     df.repartitionByRange(key, *then).sortWithinPartitions(key, *then).write.mode("overwrite").parquet(path)
 
 
-def write_table(df: DataFrame, name: str, key: str | None = None, buckets: int = 16) -> None:
-    """A table, replaced if it exists; with ``key`` bucketed and sorted by it, for point reads and joins."""
+def write_table(df: DataFrame, name: str, key: str | None = None, buckets: int = 16, path: str | None = None) -> None:
+    """A table, replaced if it exists; with ``key`` bucketed and sorted by it, for point reads and joins. ``path``: where its files go, if not to the warehouse."""
     writer = df.write.mode("overwrite").format("parquet")
     if key:
         writer = writer.bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
 
 

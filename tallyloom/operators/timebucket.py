@@ -37,3 +37,8 @@ def hourly_posts(posts: DataFrame, pattern: str | None = None) -> DataFrame:
     if pattern:
         kept = kept.where(F.col("text").rlike(pattern))
     return hourly_counts(kept.select(parse_post_date(F.col("date")).alias("ts")))
+
+
+def ordered(counts: DataFrame) -> DataFrame:
+    """Counts in the order of their text, first md then h, over all partitions: ``1/23`` stands before ``1/4``."""
+    return counts.orderBy("md", "h")

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import boolean, cooccur, graph, invindex, partitioning, skew, timebucket, wordcount
-from tallyloom.session import cut
-from tallyloom.sources import lines_in_force, lists_in_force, load, postings_in_force
+from tallyloom.operators import boolean, cooccur, graph, invindex, partitioning, sinks, skew, timebucket, wordcount
+from tallyloom.session import cut, shared_folder
+from tallyloom.sources import adjacency_text, key_value_file, lines_in_force, lines_with_offset, lists_in_force, load, postings_in_force, tweets_tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,9 @@ BOOLEAN = {
 SOURCES = [9001375, 9016281]
 ROUNDS = 5
 PARTS = 5
+NODE_COUNT = 200_000_000
+#: Ranks to convergence: a jump with which few rounds do, and a tolerance far below the digits that are shown.
+CONVERGING_JUMP, TOLERANCE = 0.7, 1e-14
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,14 +52,79 @@ def _rounded(df: DataFrame, column: str = "pmi", digits: int = 6) -> DataFrame:
     return df.withColumn(column, F.round(column, digits))
 
 
-def _stripes(spark: SparkSession, folder: str) -> DataFrame:
-    wide = cooccur.stripes(_rounded(cooccur.pmi(_lines(spark, folder))))
+def _stripes(spark: SparkSession, folder: str, marginals: str = "df") -> DataFrame:
+    wide = cooccur.stripes(_rounded(cooccur.pmi(_lines(spark, folder), marginals=marginals)))
     return wide.select("x", F.explode("stripe").alias("y", "pmi"))
 
 
 def _partition_sizes(spark: SparkSession, folder: str) -> DataFrame:
     nodes = _graph(spark, folder).select("node_id")
-    return partitioning.partition_sizes(nodes, 200_000_000, PARTS)
+    return partitioning.partition_sizes(nodes, NODE_COUNT, PARTS)
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes in each physical partition after placing by hash and by range."""
+    nodes = _graph(spark, folder).select("node_id")
+    by_hash = partitioning.placed_sizes(partitioning.place_by_hash(nodes, PARTS), "hash")
+    return by_hash.union(partitioning.placed_sizes(partitioning.place_by_range(nodes, NODE_COUNT, PARTS), "range"))
+
+
+def _converged(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranks of one source to convergence, from the highest on."""
+    return graph.descending(_rounded(graph.pagerank_to_convergence(_graph(spark, folder), SOURCES[0], CONVERGING_JUMP, TOLERANCE), "pr", 9))
+
+
+# What goes out through a sink and comes back through its source.
+
+
+def _text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """(line, n): lines of a text collection, read with their offsets."""
+    path = shared_folder(spark)
+    sinks.write_text(_lines(spark, folder).select(F.regexp_replace("line", "[\\r\\n]", " ")), path)
+    return lines_with_offset(spark, path).where("docno >= 0").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _posts_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts of posts from a tab-separated file, in order."""
+    path = shared_folder(spark)
+    sinks.write_text(_posts(spark, folder).dropna(), path)
+    return timebucket.ordered(timebucket.hourly_posts(tweets_tsv(spark, path)))
+
+
+def _adjacency_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """(node_id, degree, total): nodes of an adjacency text, with the number and the sum of their neighbours."""
+    path = shared_folder(spark)
+    lists = _graph(spark, folder)
+    sinks.write_text(lists.select(F.concat_ws(" ", F.col("node_id").cast("string"), F.col("nbrs").cast("array<string>"))), path)
+    total = F.aggregate("nbrs", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return adjacency_text(spark, path).select("node_id", F.size("nbrs").cast("bigint").alias("degree"), total.alias("total"))
+
+
+def _key_values_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Word counts by sequence files."""
+    path = shared_folder(spark)
+    sinks.write_key_values(wordcount.word_count(_lines(spark, folder)), path)
+    return key_value_file(spark, path, 'term string, `count` bigint')
+
+
+def _sorted_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Look-up in an index in sorted files."""
+    path = shared_folder(spark)
+    sinks.write_sorted(_index(spark, folder), path, "term", "docno")
+    return invindex.lookup(spark.read.parquet(path), "king")
+
+
+def _table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Words fetched from a table that is dropped and created again."""
+    sinks.write_table(wordcount.word_count(_lines(spark, folder)), "tallyloom_word_counts", "term", 4, shared_folder(spark))
+    return wordcount.fetch(spark.table("tallyloom_word_counts"), WORDS)
+
+
+def _decoded_boolean(spark: SparkSession, folder: str) -> DataFrame:
+    """Boolean retrieval over the compressed index."""
+    lines = _lines(spark, folder)
+    index = invindex.decompressed(cut(invindex.compressed(invindex.postings(lines))))
+    return boolean.retrieve(index, lines, BOOLEAN["q27_boolean_deep"], 80)
 
 
 def _first_mass(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,6 +191,17 @@ QUERIES: dict[str, Query] = {
     "q38_hourly_posts_filtered": lambda s, d: timebucket.hourly_posts(_posts(s, d), ".*(?i:view|error).*"),
     "q39_message_counters": lambda s, d: graph.message_counters(_graph(s, d)),
     "q40_rank_lines": lambda s, d: graph.rank_lines(graph.top_nodes(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS))),
+    "q41_hourly_ordered": lambda s, d: timebucket.ordered(timebucket.hourly_counts(_events(s, d))),
+    "q42_boolean_decoded": _decoded_boolean,
+    "q43_stripes_cf": lambda s, d: _stripes(s, d, "cf"),
+    "q44_placed_partitions": _placed,
+    "q45_pagerank_converged": _converged,
+    "q46_text_round_trip": _text_round_trip,
+    "q47_posts_round_trip": _posts_round_trip,
+    "q48_adjacency_round_trip": _adjacency_round_trip,
+    "q49_key_values_round_trip": _key_values_round_trip,
+    "q50_sorted_round_trip": _sorted_round_trip,
+    "q51_table_round_trip": _table_round_trip,
     "p4_found": lambda s, d: p4_found(s, d),
     "p4_terms": lambda s, d: skew.per_term(postings_in_force(load(s, d, "postings"))),
     "p4_nodes": lambda s, d: skew.per_node(_graph(s, d)),
@@ -204,6 +283,23 @@ def _pagerank(rounds: int) -> str:
     return "WITH " + ", ".join(steps)
 
 
+def _converging(rounds: int = 34) -> str:
+    """Ranks of one source after so many rounds over all nodes with a link; 0.3 to their power is far below the digits that are compared."""
+    jump, source = f"{CONVERGING_JUMP}::DOUBLE", SOURCES[0]
+    steps = [
+        f"{GRAPH}, ids AS MATERIALIZED (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)",
+        f"r0 AS MATERIALIZED (SELECT node_id, (CASE WHEN node_id = {source} THEN 1 ELSE 0 END)::DOUBLE AS pr FROM ids)",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"m{i} AS MATERIALIZED (SELECT ids.node_id, coalesce(mass, 0) AS mass FROM ids LEFT JOIN (SELECT dst AS node_id, sum(pr / d) AS mass FROM r{i} JOIN deg ON src = node_id"
+            " JOIN edges ON edges.src = node_id GROUP BY 1) USING (node_id))",
+            f"r{i + 1} AS MATERIALIZED (SELECT node_id, (CASE WHEN node_id = {source} THEN {jump} + (1 - {jump}) * (mass + (SELECT greatest(0, 1 - sum(mass)) FROM m{i}))"
+            f" ELSE (1 - {jump}) * mass END)::DOUBLE AS pr FROM m{i})",
+        ]
+    return "WITH " + ", ".join(steps) + f" SELECT node_id, {source}::BIGINT AS source_id, round(pr, 9) AS pr FROM r{rounds} ORDER BY pr DESC, node_id"
+
+
 def _components(rounds: int = 12) -> str:
     steps = [
         f"{GRAPH}, both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)",
@@ -276,6 +372,10 @@ ORACLE: dict[str, str] = {
     "q40_rank_lines": f"""{_pagerank(ROUNDS)} SELECT source_id, rank, printf('%.5f %d', pr, node_id) AS line FROM (
       SELECT source_id, node_id, pr, row_number() OVER (PARTITION BY source_id ORDER BY pr DESC, node_id)::INT AS rank
       FROM (SELECT node_id, source_id, round(pr, 9) AS pr FROM r{ROUNDS})) WHERE rank <= 10""",
+    "q45_pagerank_converged": _converging(),
+    "q46_text_round_trip": f"{L} SELECT regexp_replace(line, '[\\r\\n]', ' ', 'g') AS line, count(*) AS n FROM lines GROUP BY 1",
+    "q48_adjacency_round_trip": f"""WITH {GRAPH} SELECT node_id, count(dst) AS degree, coalesce(sum(dst), 0)::BIGINT AS total
+      FROM lists LEFT JOIN edges ON src = node_id GROUP BY node_id""",
     "p4_found": f"""WITH {IN_FORCE}, {GRAPH},
       t AS (SELECT term, count(*) AS n FROM post GROUP BY term), e AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst)
       SELECT 'term' AS key_kind, term AS key_text FROM t WHERE 100 * n >= (SELECT sum(n) FROM t)
@@ -283,3 +383,14 @@ ORACLE: dict[str, str] = {
     "p4_terms": f"WITH {IN_FORCE} SELECT term, count(*) AS entries, sum(tf)::BIGINT AS tf FROM post GROUP BY term",
     "p4_nodes": f"WITH {GRAPH} SELECT dst AS node_id, count(*) AS entries, count(DISTINCT src) AS pointers FROM edges GROUP BY dst",
 }
+
+ORACLE |= {
+    "q41_hourly_ordered": ORACLE["q05_hourly_counts"] + " ORDER BY md, h",
+    "q42_boolean_decoded": ORACLE["q28_boolean_snippet_80"],
+    "q43_stripes_cf": f"{L}, {J}, {CF}, {PAIRS}, {PMI} SELECT x, y, pmi FROM pmi",
+    "q44_placed_partitions": ORACLE["q35_partition_sizes"],
+    "q47_posts_round_trip": ORACLE["q37_hourly_posts"] + " ORDER BY md, h",
+    "q49_key_values_round_trip": ORACLE["q01_word_count"],
+    "q50_sorted_round_trip": ORACLE["q20_lookup"],
+    "q51_table_round_trip": ORACLE["q04_word_fetch"],
+}

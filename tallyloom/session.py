@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -48,21 +50,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
     context.setCheckpointDir(folder)
     return folder
 
 
+_scopes = threading.local()
+_cleanup = threading.Lock()
+_cleaning = {"depth": 0, "before": None}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder. What is written there goes at the end of the ``scratch`` block, or when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, folder)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Everything that operators write to the shared folder inside this block goes at its end.
+
+    For long sessions: results have to be written or collected within the block, since they read what was written. The
+    block's value is a function that hands a table written by ``cut`` on to the block around, if there is one.
+    """
+    outer = getattr(_scopes, "open", [])
+    scope: list[str] = []
+    _scopes.open = [*outer, scope]
+
+    def keep(df: DataFrame) -> DataFrame:
+        scope.remove(df._cut_folder)
+        for around in outer[-1:]:
+            around.append(df._cut_folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.open = outer
+        for folder in scope:
+            _delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
     Cuts the lineage, survives the loss of executors, and lets later steps read only the columns they need; as
-    compressed Parquet it takes a fraction of a checkpoint of rows. The files go when the context stops, or by ``discard``.
+    compressed Parquet it takes a fraction of a checkpoint of rows. The files go by ``discard``, at the end of a ``scratch`` block, or when the driver ends.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     with short_lived_shuffles(spark):
         df.write.parquet(folder)
-    atexit.register(_delete, spark, folder)
     written = spark.read.schema(df.schema).parquet(folder)
     written._cut_folder = folder
     return written
@@ -85,14 +126,24 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of jobs in this block go when their query ends, not when the driver collects its garbage."""
+    """Shuffle files of jobs in this block go when their query ends, not when the driver collects its garbage.
+
+    The setting is the session's: the first of several blocks at a time sets it, the last one sets it back.
+    """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with _cleanup:
+        if not _cleaning["depth"]:
+            _cleaning["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _cleaning["depth"] += 1
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        with _cleanup:
+            _cleaning["depth"] -= 1
+            if not _cleaning["depth"]:
+                before = _cleaning["before"]
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def ship(spark: SparkSession) -> None:
@@ -101,7 +152,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tallyloom_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tallyloom-code-")) / f"tallyloom-{uuid.uuid4().hex}.zip"
+    folder = tempfile.mkdtemp(prefix="tallyloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / f"tallyloom-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rows import rows
 
 from tallyloom.operators import graph as G
-from tallyloom.operators.partitioning import partition_sizes, place_by_range, range_partition
+from tallyloom.operators.partitioning import partition_sizes, place_by_hash, place_by_range, placed_sizes, range_partition
 
 
 def make(spark, lists):
@@ -98,6 +98,44 @@ def test_components(spark):
     assert dict(rows(G.weak_components(make(spark, lists)))) == label
 
 
+def test_components_of_a_star(spark, monkeypatch):
+    """The hub of a star is told apart: no task of the join holds much more than its share of the edges."""
+    from tallyloom.operators import numbering, skew
+
+    monkeypatch.setattr(G, "FEW_EDGES", 0)
+    star = spark.createDataFrame([(0, list(range(1, 5001))), (9000, [9001])], "node_id bigint, nbrs array<bigint>")
+    found = rows(G.weak_components(star))
+    assert found == sorted([(n, 0) for n in range(5001)] + [(9000, 9000), (9001, 9000)])
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
+    links = spark.range(1, 20001).select(F.lit(0).cast("bigint").alias("u"), F.col("id").alias("v")).union(spark.range(30000, 30100).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    facts = G.cut(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    monkeypatch.setattr(numbering, "BROADCAST_ROWS", 50)
+    told = skew.lookup(links.repartition(8), facts, "u", "n").groupBy(F.spark_partition_id().alias("p")).count()
+    counts = [r["count"] for r in told.collect()]
+    assert sum(counts) == 20100 and max(counts) <= 3000
+
+
+def test_reached_nodes_only(spark):
+    """Rounds hold no rows for nodes that no source has reached; the result has them."""
+    data = make(spark, {n: [n + 1] for n in range(50)} | {50: []})
+    seeds = G._seeds(data, [0])
+    assert G._reached(data, seeds.withColumn("pr", F.lit(1.0)), seeds).count() == 2
+    assert G.personalized_pagerank(data, [0], 2).count() == 51
+    assert rows(G.personalized_pagerank(data.limit(0), [0], 2)) == []
+    assert G.personalized_pagerank(data, [3], 0).where("pr > 0").collect() == [(3, 3, 1.0)]
+
+
+def test_descending_order(spark):
+    ranks = spark.createDataFrame([(3, 1, 0.5), (2, 1, 0.5), (9, 1, 0.7), (4, 1, 0.1)], "node_id bigint, source_id bigint, pr double")
+    assert [r.node_id for r in G.descending(ranks).collect()] == [9, 2, 3, 4]
+
+
+def test_placing_by_hash(spark):
+    df = spark.createDataFrame([(5,), (15,), (0,), (9,), (-1,), (None,)], "node_id bigint")
+    assert rows(place_by_hash(df, 4).select("node_id", F.spark_partition_id())) == [(-1, 3), (0, 0), (5, 1), (9, 1), (15, 3), (None, 0)]
+    assert rows(placed_sizes(place_by_hash(df, 4), "hash")) == [("hash", 0, 2), ("hash", 1, 2), ("hash", 3, 2)]
+
+
 def test_partition_formula(spark):
     df = spark.createDataFrame([(5,), (15,), (0,), (9,)], "node_id bigint")
     assert rows(df.select("node_id", range_partition(F.col("node_id"), 10, 4))) == [(0, 0), (5, 2), (9, 3), (15, 2)]

@@ -1,0 +1,106 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from rows import rows
+
+from tallyloom.operators import cooccur, pairing, skew
+from tallyloom.operators.numbering import is_small
+
+RECORDS = "docno bigint, items array<string>, item string, n int"
+
+
+def data():
+    draw = random.Random(7)
+    words = [chr(97 + k) * 2 for k in range(20)] + ["é", "Z", "\U0001f600", "｡"]
+    records = [draw.choices(words, weights=[30, 20] + [2] * 22, k=draw.randrange(0, 12)) for _ in range(300)]
+    return records + [None, [], [None], [None, "aa", "aa", "bb"], ["aa"], words] + [["aa", "bb"]] * 100
+
+
+def brute(records, least):
+    sets = [{x for x in r if x is not None} for r in records if r]
+    both = Counter((x, y) for s in sets for x in s for y in s if x.encode() < y.encode())
+    return sorted((x, y, c) for (x, y), c in both.items() if c >= least)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+@pytest.mark.parametrize("dictionary, half", [(None, 1 << 31), (0, 1 << 31), (0, 0)])
+def test_every_way_counts_the_same(spark, block, dictionary, half, monkeypatch):
+    """Small dictionaries, tables as dictionaries, numbers beyond half a code; short records and ones that are cut into blocks."""
+    monkeypatch.setattr(skew, "HOT_SHARE", 1 / 20)
+    monkeypatch.setattr(pairing, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(pairing, "HALF_CODE", half)
+    records = data()
+    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)] + [(None, ["aa", "lost"], "clash", 1)], RECORDS)
+    held = pairing.written_records(df)
+    assert held.where("k > 4").count() > 50
+    for least in (1, 10):
+        frequent = pairing.cut(pairing.item_counts(held).where(F.col("n") >= least))
+        found = pairing.count_pairs(held, frequent, least, dictionary)
+        assert sorted(rows(found, "x", "y", "pairs"), key=lambda r: (r[0].encode(), r[1].encode())) == sorted(brute(records, least), key=lambda r: (r[0].encode(), r[1].encode()))
+        counts = {r.item: r.n for r in frequent.collect()}
+        assert all((r.x_n, r.y_n) == (counts[r.x], counts[r.y]) for r in found.collect())
+
+
+def test_a_record_of_all_items_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BLOCK_ITEMS", 64)
+    items = [f"{k:05d}" for k in range(1000)]
+    held = pairing.written_records(spark.createDataFrame([(1, items)], "docno bigint, items array<string>"))
+    found = pairing.count_pairs(held, pairing.cut(pairing.item_counts(held)), 1)
+    assert found.agg(F.count(F.lit(1)), F.sum("pairs")).first() == (499_500, 499_500)
+    lists = spark.createDataFrame([(list(range(1000)),)], "t array<bigint>")
+    parts = pairing.blocks(lists).select(F.spark_partition_id().alias("p"), F.size("a").alias("a"), F.size("b").alias("b"))
+    shares = [r["sum((a * b))"] for r in parts.groupBy("p").agg(F.sum(F.expr("a * b"))).collect()]
+    assert len(shares) == 4 and max(shares) < 2 * sum(shares) / len(shares)
+
+
+def test_nothing_to_pair(spark):
+    for given in ([], [(1, None)], [(1, ["a"]), (2, ["a"])]):
+        held = pairing.written_records(spark.createDataFrame(given, "docno bigint, items array<string>"))
+        assert pairing.count_pairs(held, pairing.cut(pairing.item_counts(held)), 1).count() == 0
+
+
+def test_very_long_record_in_pieces():
+    values = np.arange(300, dtype=np.int64)
+    codes = np.concatenate(list(pairing.pair_codes(np.concatenate([values, values[:1], values[:2]]), np.array([300, 1, 2]), most=1000)))
+    assert len(codes) == 300 * 299 // 2 + 1
+    assert Counter(codes.tolist())[1] == 2 and ((codes >> 32) < (codes & 0xFFFFFFFF)).all()
+
+
+def test_runs_across_batches():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["code", "pairs"]) for c, n in (([1, 1, 2], [1, 2, 1]), ([2], [5]), ([], []), ([2, 3], [1, 1]))]
+    merged = [(int(c), int(n)) for cs, ns in pairing.merged_runs(iter(batches), 2) for c, n in zip(cs, ns)]
+    assert merged == [(1, 3), (2, 7)]
+    runs = list(pairing.sorted_runs(iter([np.array([3, 1]), np.array([], dtype=np.int64), np.array([1])])))
+    assert [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in runs] == [([1, 3], [2, 1])]
+    assert list(pairing.sorted_runs(iter([]))) == []
+
+
+def test_stripes_in_blocks(spark):
+    scored = spark.createDataFrame([("a", f"y{k}", float(k)) for k in range(500)] + [("b", "y1", 7.0)], "x string, y string, pmi double")
+    found = cooccur.stripes(scored, items=50)
+    sizes = found.select("x", "block", F.size("stripe").alias("k")).collect()
+    assert len(sizes) > 8 and max(r.k for r in sizes) < 110
+    assert rows(found.select("x", F.explode("stripe").alias("y", "pmi"))) == rows(scored)
+    assert rows(cooccur.stripes(scored).groupBy("x").count()) == [("a", 1), ("b", 1)]
+    assert rows(cooccur.stripes(scored.limit(0))) == []
+
+
+def test_shares_are_exact(spark):
+    x = 9007199254740993
+    rows_ = spark.createDataFrame([("x", x), ("y", 999 * x - 1)], "key string, entries bigint")
+    assert rows(skew.heavy_keys(rows_, 0.001), "key") == [("x",), ("y",)]
+    below = spark.createDataFrame([("x", x), ("y", 999 * x + 1)], "key string, entries bigint")
+    assert rows(skew.heavy_keys(below, 0.001), "key") == [("y",)]
+    many = spark.createDataFrame([(f"k{k}", 2**62) for k in range(8)], "key string, entries bigint")
+    assert skew.heavy_keys(many, 0.125).count() == 8 and skew.heavy_keys(many, 1 / 7).count() == 0
+
+
+def test_small_counts_bytes_too(spark):
+    wide = spark.createDataFrame([("x" * 1000, [1] * 100)] * 10, "a string, b array<int>")
+    assert is_small(wide) and is_small(wide, size=20_000) and not is_small(wide, size=10_000) and not is_small(wide, rows=9)
+    assert is_small(wide.limit(0), rows=0)

@@ -84,3 +84,28 @@ def test_cut_keeps_rows_and_types(spark):
     again = cut(df)
     assert again.dtypes == df.dtypes and rows(again, "a", "b") == rows(df, "a", "b")
     discard(again)
+
+
+def test_nothing_stays_in_the_shared_folder(spark):
+    """What operators write goes at the end of the block; the rounds of an iteration go as they are superseded."""
+    from pathlib import Path
+
+    from tallyloom.operators import cooccur, graph
+    from tallyloom.session import cut, ensure_checkpoint_dir, scratch
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "tables"
+    lines = spark.createDataFrame([(k, "a b c") for k in range(20)], "docno bigint, line string")
+    chain = spark.createDataFrame([(k, [(k + 1) % 9]) for k in range(9)], "node_id bigint, nbrs array<bigint>")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with scratch(spark):
+        assert cooccur.pmi(lines).count() == 3
+        ranks = graph.pagerank_to_convergence(chain, 0, jump=0.5, tolerance=1e-6)
+        assert len(set(folder.iterdir()) - before) < 10
+        assert ranks.count() == 9
+        with scratch(spark) as keep:
+            cut(lines)
+            kept = keep(cut(lines))
+        assert kept.count() == 20
+        found = graph.weak_components(chain)
+        assert found.count() == 9
+    assert set(folder.iterdir()) - before == set()

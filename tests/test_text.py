@@ -115,7 +115,7 @@ def test_numbering(spark):
     assert [r.term for r in found.orderBy("code").collect()] == sorted(words, key=str.encode)
     assert [r.code for r in found.orderBy("code").collect()] == list(range(503))
     assert rows(numbered(found.limit(0).drop("code"), "term")) == []
-    hinted = [("strategy=broadcast" in d._jdf.queryExecution().toString()) for d in (sized(spark.range(6)), sized(spark.range(6), limit=5), sized(spark.range(6), rows=9, limit=8))]
+    hinted = [("strategy=broadcast" in d._jdf.queryExecution().toString()) for d in (sized(spark.range(6)), sized(spark.range(6), rows=5), sized(spark.range(6), size=40))]
     assert hinted == [True, False, False]
 
 

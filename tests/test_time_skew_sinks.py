@@ -23,6 +23,11 @@ def test_hourly_counts(spark):
     assert rows(timebucket.hourly_counts(data.limit(0))) == []
 
 
+def test_hours_in_order(spark):
+    data = spark.createDataFrame([(datetime(2024, m, d, h),) for m, d, h in ((2, 1, 5), (1, 4, 0), (1, 23, 11), (1, 23, 2), (12, 1, 1))], "ts timestamp")
+    assert [(r.md, r.h) for r in timebucket.ordered(timebucket.hourly_counts(data)).collect()] == [("1/23", "02"), ("1/23", "11"), ("1/4", "00"), ("12/1", "01"), ("2/1", "05")]
+
+
 def test_stream(spark, tmp_path):
     data = spark.createDataFrame([(datetime(2024, 1, 2, 3, m),) for m in range(5)] + [(datetime(2024, 1, 2, 4),)], "ts timestamp")
     data.write.parquet(str(tmp_path / "in"))
