@@ -2,129 +2,18 @@
 
 Method: every pair of a record becomes one packed 64-bit code. Tasks fill a buffer of codes, sort it, count
 its runs and hand the sorted run on; Spark's external sort spills and merges the runs of a range
-of codes; one pass over the merged codes counts equal neighbours. Then come the odds ratio with a continuity
-correction of one half in each cell, and the base-10 mutual information.
-
-A pair of very frequent items leaves a task as one code and a count for each run, whatever
-its number of records, so no task gets more than its share. No record is joined with another.
+of codes; one pass over the merged codes counts equal neighbours (``operators.pairing``, which the core's own pair counts use too). Then come
+the odds ratios with a continuity correction of one half in each cell, and the base-10 mutual information.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.tokens import tokens
-from tallyloom.operators.numbering import numbered
-from tallyloom.operators.skew import attach
-from tallyloom.session import cut, ship
-
-#: Codes in one sorted run: 16 MB.
-RUN = 1 << 21
-#: Largest dictionary, in items, that goes to every task; beyond it items are numbered by joins.
-DICTIONARY_ITEMS = 400_000
-#: Numbers of items must fit into half a code.
-MAX_ITEMS = 1 << 31
-
-COUNTS = "code bigint, pairs bigint"
-
-
-def pair_codes(values: np.ndarray, lengths: np.ndarray, most: int = RUN) -> Iterator[np.ndarray]:
-    """Codes of all pairs of each record, in pieces of about ``most``.
-
-    ``values``: the records' item numbers one after another, ascending and different within a record.
-    """
-    starts = np.cumsum(lengths) - lengths
-    for n in np.unique(lengths):
-        if n < 2:
-            continue
-        begin, each = starts[lengths == n], int(n) * (int(n) - 1) // 2
-        if each > most:
-            for s in begin:
-                line = values[s : s + n]
-                for i in range(n - 1):
-                    yield (line[i] << 32) | line[i + 1 :]
-            continue
-        i, j = np.triu_indices(n, 1)
-        step = max(1, most // each)
-        for k in range(0, len(begin), step):
-            block = values[begin[k : k + step, None] + np.arange(n)]
-            yield ((block[:, i] << 32) | block[:, j]).ravel()
-
-
-def count_runs(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Different codes of a sorted array and how often each occurs (or the sum of its counts)."""
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    if counts is None:
-        return codes[first], np.diff(np.append(first, len(codes)))
-    return codes[first], np.add.reduceat(counts, first)
-
-
-def _batches(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    table = pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "pairs"])
-    for k in range(0, len(codes), 1 << 16):
-        yield table.slice(k, 1 << 16)
-
-
-def _sorted_runs(records: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    for values, lengths in records:
-        for codes in pair_codes(values, lengths):
-            held.append(codes)
-            if sum(map(len, held)) >= RUN or len(held) >= 4096:
-                # a run that combining leaves small is kept and filled up
-                merged = np.concatenate(held)
-                if len(merged) < RUN:
-                    held = [merged]
-                    continue
-                merged.sort()
-                yield from _batches(*count_runs(merged))
-                held = []
-    if held:
-        merged = np.concatenate(held)
-        merged.sort()
-        yield from _batches(*count_runs(merged))
-
-
-def _numbered(dictionary: pa.Array, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending, different item numbers of each record of a batch of token lists; unknown items are dropped."""
-    lists = batch.column(0)
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    number = pc.index_in(lists.flatten(), value_set=dictionary)
-    known = number.is_valid().to_numpy(zero_copy_only=False)
-    record = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[known]
-    keys = np.unique((record << 32) | pc.drop_null(number).to_numpy().astype(np.int64))
-    return keys & 0xFFFFFFFF, np.bincount(keys >> 32, minlength=len(sizes))
-
-
-def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column(0)
-    return lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
-
-
-def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sums of the runs of equal codes in sorted batches, if at least ``least``; a run may span batches."""
-    code, count = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes, counts = count_runs(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        if code is not None:
-            if codes[0] == code:
-                counts = np.concatenate([[counts[0] + count], counts[1:]])
-            elif count >= least:
-                yield np.array([code]), np.array([count])
-        code, count = codes[-1], int(counts[-1])
-        keep = counts[:-1] >= least
-        if keep.any():
-            yield codes[:-1][keep], counts[:-1][keep]
-    if code is not None and count >= least:
-        yield np.array([code]), np.array([count])
+from tallyloom.operators import pairing
+from tallyloom.session import cut
 
 
 def records_of_lines(lines: DataFrame) -> DataFrame:
@@ -132,7 +21,7 @@ def records_of_lines(lines: DataFrame) -> DataFrame:
     return lines.select("docno", tokens(F.col("line")).alias("items"))
 
 
-def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int = DICTIONARY_ITEMS) -> DataFrame:
+def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int | None = None) -> DataFrame:
     """(x, y, pairs, x_records, y_records, records, pmi, log_odds) of the pairs in at least ``min_count`` records.
 
     ``records`` (docno, items) has one row for each docno; items are strings, repeats within a record count once, x < y by
@@ -140,74 +29,19 @@ def item_pairs(records: DataFrame, min_count: int = 10, dictionary_items: int =
     table gives no rows; other columns are ignored.
     ``pmi`` is log10(pairs * records / (x_records * y_records)); ``log_odds`` the natural logarithm of the odds ratio with one half added to each cell.
 
-    A pair in ``min_count`` records has both items in as many, so rarer items are dropped before pairs are made.
+    A pair in ``min_count`` records has both items in as many, so rarer items are dropped before pairs are made. A very long record is
+    cut into blocks whose pairs are made by different tasks; a dictionary that is not small (``dictionary_items``: its largest number of items) stays a
+    table, and 2**31 items or more are counted as two numbers: no size is left out.
     """
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
-    ship(records.sparkSession)
-    held = records.where("docno IS NOT NULL").select("docno", F.filter("items", lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
-    # one pass for both: the null at the end of each record counts the records
-    counted = held.select(F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    frequent = cut(counted.where(F.col("item").isNull() | (F.col("n") >= min_count)))
-    total = (frequent.where("item IS NULL").agg(F.sum("n").alias("n")).first().n) or 0
-    frequent = frequent.where("item IS NOT NULL")
-    size = frequent.count()
-    if size >= MAX_ITEMS:
-        raise ValueError(f"{size} items are too many to number in half a code")
-    if size <= dictionary_items:
-        named = _by_dictionary(held, frequent, min_count)
-    else:
-        named = _by_joins(held, frequent, min_count)
+    held = pairing.written_records(records)
+    frequent = cut(pairing.item_counts(held).where(F.col("n") >= min_count))
+    named = pairing.count_pairs(held, frequent, min_count, dictionary_items).withColumnsRenamed({"x_n": "x_records", "y_n": "y_records"})
+    total = held.where("k > 0").count()
     n, c, cx, cy = F.lit(float(total)), *(F.col(k).cast("double") for k in ("pairs", "x_records", "y_records"))
     half = F.lit(0.5)
     odds = (c + half) * (n - cx - cy + c + half) / ((cx - c + half) * (cy - c + half))
     return named.select(
         "x", "y", "pairs", "x_records", "y_records", F.lit(total).cast("bigint").alias("records"), F.log10(c * n / (cx * cy)).alias("pmi"), F.log(odds).alias("log_odds")
     )
-
-
-def _counted(runs: DataFrame) -> DataFrame:
-    """Sorted runs brought together: equal codes lie side by side in one partition."""
-    return runs.repartition("code").sortWithinPartitions("code")
-
-
-def _by_dictionary(held: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
-    """The dictionary is small by a count: every task gets it, and neither numbering nor naming shuffles."""
-    terms = sorted(((r.item, r.n) for r in frequent.collect()), key=lambda x: x[0].encode())
-    shared = held.sparkSession.sparkContext.broadcast((pa.array([t for t, _ in terms], pa.string()), np.array([n for _, n in terms], dtype=np.int64)))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sorted_runs(_numbered(shared.value[0], b) for b in batches)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, counts = shared.value
-        for codes, pairs in _merged(batches, min_count):
-            x, y = codes >> 32, codes & 0xFFFFFFFF
-            columns = [items.take(pa.array(x)), items.take(pa.array(y)), pa.array(pairs, pa.int64()), pa.array(counts[x]), pa.array(counts[y])]
-            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "pairs", "x_records", "y_records"])
-
-    runs = held.select("items").mapInArrow(make, COUNTS)
-    return _counted(runs).mapInArrow(name, "x string, y string, pairs bigint, x_records bigint, y_records bigint")
-
-
-def _by_joins(held: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
-    """The dictionary stays a table; the few items that hold much of all occurrences are joined apart."""
-    coded = numbered(frequent, "item")
-    occurrences = coded.agg(F.sum("n").alias("n")).first().n
-    each = held.select("docno", F.explode(F.array_distinct("items")).alias("item"))
-    lists = attach(each, coded, "item", "n", occurrences).groupBy("docno").agg(F.sort_array(F.collect_list("code")).alias("items"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sorted_runs(_lists(b) for b in batches)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, pairs in _merged(batches, min_count):
-            yield from _batches(codes, pairs)
-
-    counted = _counted(lists.select("items").mapInArrow(make, COUNTS)).mapInArrow(count, COUNTS)
-    sides = counted.select(F.shiftright("code", 32).alias("xc"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("yc"), "pairs")
-    left = coded.select(F.col("code").alias("xc"), F.col("item").alias("x"), F.col("n").alias("x_records"))
-    right = coded.select(F.col("code").alias("yc"), F.col("item").alias("y"), F.col("n").alias("y_records"))
-    return sides.join(left, "xc").join(right, "yc").select("x", "y", "pairs", "x_records", "y_records")

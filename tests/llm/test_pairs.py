@@ -2,12 +2,11 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 from rows import rows
 
 from tallyloom.llm import pairs as P
-from tallyloom.operators import skew
+from tallyloom.operators import numbering, pairing, skew
 
 RECORDS = "docno bigint, items array<string>, item string, n int"
 
@@ -48,19 +47,24 @@ def test_nothing_to_pair(spark, dictionary):
         P.item_pairs(spark.createDataFrame([], RECORDS), 0)
 
 
-def test_very_long_record_in_pieces():
-    values = np.arange(300, dtype=np.int64)
-    codes = np.concatenate(list(P.pair_codes(np.concatenate([values, values[:1], values[:2]]), np.array([300, 1, 2]), most=1000)))
-    assert len(codes) == 300 * 299 // 2 + 1
-    assert Counter(codes.tolist())[1] == 2 and ((codes >> 32) < (codes & 0xFFFFFFFF)).all()
-
-
-def test_runs_across_batches():
-    import pyarrow as pa
-
-    batches = [pa.record_batch([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["code", "pairs"]) for c, n in (([1, 1, 2], [1, 2, 1]), ([2], [5]), ([], []), ([2, 3], [1, 1]))]
-    merged = [(int(c), int(n)) for cs, ns in P._merged(iter(batches), 2) for c, n in zip(cs, ns)]
-    assert merged == [(1, 3), (2, 7)]
+def test_long_records_and_many_items(spark, monkeypatch):
+    """Records cut into blocks and items beyond half a code give the same."""
+    draw = random.Random(8)
+    records = [draw.sample([f"w{k}" for k in range(40)], draw.randrange(0, 40)) for _ in range(60)]
+    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)], RECORDS)
+    monkeypatch.setattr(pairing, "BLOCK_ITEMS", 7)
+    assert found(P.item_pairs(df, 2)) == brute(records, 2)
+    monkeypatch.setattr(pairing, "HALF_CODE", 0)
+    assert found(P.item_pairs(df, 2, 0)) == brute(records, 2)
+
+
+def test_large_texts_are_no_small_dictionary(spark, monkeypatch):
+    """Few items of many bytes are not sent to every task."""
+    monkeypatch.setattr(numbering, "BROADCAST_BYTES", 10_000)
+    monkeypatch.setattr(pairing, "_by_dictionary", None)
+    records = [["a" * 9000, "b" * 9000, "c"]] * 3
+    df = spark.createDataFrame([(i, r, "clash", 1) for i, r in enumerate(records)], RECORDS)
+    assert found(P.item_pairs(df, 2)) == brute(records, 2)
 
 
 def test_lines_become_records(spark):
