@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.skew import at_least_share
 from tallyloom.sources.tables import not_blank
 
 LOW = (1 << 31) - 1
@@ -41,13 +42,13 @@ def top_items(counts: DataFrame, k: int, item: str = "term", count: str = "cell_
 
 
 def heavy_items(counts: DataFrame, share: float, item: str = "term", count: str = "cell_count") -> DataFrame:
-    """(item, total, share) of the items with at least ``share`` of the sum over all items.
+    """(item, total, share) of the items with at least ``share`` of the sum over all items, compared exactly (``at_least_share``).
 
-    No more than 1/share items can have it, so they are among the top 1/share.
+    No more than 1/share items can have it, so they are among the top 1/share. The column ``share`` is a double, for display.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
-    everything = valid_counts(counts, item, count).agg(_wide_sum(F.col("n")).cast("double").alias("n")).scalar()
-    part = F.col("total").cast("double") / F.nullif(everything, F.lit(0.0))
+    everything = valid_counts(counts, item, count).agg(_wide_sum(F.col("n")).alias("n")).scalar()
     top = top_items(counts, math.floor(1 / share + 1e-9), item, count)
-    return top.withColumn("share", part).where(F.col("share") >= share)
+    part = F.col("total").cast("double") / F.nullif(everything.cast("double"), F.lit(0.0))
+    return top.where(at_least_share(F.col("total"), everything, share)).withColumn("share", part)

@@ -31,6 +31,13 @@ def test_share_is_exact_and_ties_by_item(spark):
     assert rows(topterms.top_items(df, 3), "item") == [("t0",), ("t1",), ("t10",)]
 
 
+@pytest.mark.parametrize("more, found", [(-1, ["x", "y"]), (0, ["x", "y"]), (1, ["y"])])
+def test_share_beyond_the_precision_of_doubles(spark, more, found):
+    x = 9007199254740993
+    df = spark.createDataFrame([("x", x, 0, 0), ("y", 999 * x + more, 0, 0)], COUNTS)
+    assert rows(topterms.heavy_items(df, 0.001), "item") == [(f,) for f in found]
+
+
 def test_containers():
     draw = np.random.default_rng(1)
     for n in (1, 100, 4096, 4097, 65536):
