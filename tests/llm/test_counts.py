@@ -43,11 +43,39 @@ def test_containers():
     for n in (1, 100, 4096, 4097, 65536):
         low = np.sort(draw.choice(65536, n, replace=False))
         assert (B.from_container(B.to_container(low), n) == low).all()
-    parts = [np.sort(draw.choice(65536, n, replace=False)) for n in (10, 5000, 3000)]
-    for chosen in (parts, parts[:1] * 2, [parts[0], parts[2]]):
-        data, docs = B.unite([(B.to_container(p), len(p)) for p in chosen])
-        union = np.unique(np.concatenate(chosen))
-        assert docs == len(union) and (B.from_container(data, docs) == union).all()
+
+
+def decoded(index):
+    """Docnos of each term, by the rows that name the records of a block."""
+    records = {r.block: np.frombuffer(bytes(r.container), dtype="<i8") for r in index if r.term is None}
+    held = defaultdict(list)
+    for r in index:
+        if r.term is not None:
+            held[r.term] += records[r.block][B.from_container(bytes(r.container), r.docs)].tolist()
+    assert all(len(d) == len(set(d)) for d in held.values())
+    return {t: set(d) for t, d in held.items()}, records
+
+
+@pytest.mark.parametrize("records, postings_, size", [(65536, 1 << 22, 1 << 28), (100, 1 << 22, 1 << 28), (65536, 700, 1 << 28), (65536, 1 << 22, 1000), (1, 1, 1)])
+def test_blocks_end_with_a_record(records, postings_, size, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "BLOCK_RECORDS", records)
+    monkeypatch.setattr(B, "BLOCK_POSTINGS", postings_)
+    monkeypatch.setattr(B, "BLOCK_BYTES", size)
+    draw = random.Random(3)
+    rows_ = sorted({(draw.randrange(-300, 300), f"t{draw.randrange(40)}") for _ in range(5000)} | {(7, f"u{k}") for k in range(900)})
+    batches = [pa.record_batch([pa.array([t for _, t in part]), pa.array([d for d, _ in part]), pa.array([2] * len(part))], ["t", "d", "n"]) for part in (rows_[k : k + 37] for k in range(0, len(rows_), 37))]
+    out = [r for b in B._blocks(iter([*batches[:5], batches[0].slice(0, 0), *batches[5:]])) for r in b.to_pylist()]
+    index = [type("R", (), r) for r in out]
+    truth = defaultdict(set)
+    for d, t in rows_:
+        truth[t].add(d)
+    held, blocks = decoded(index)
+    assert held == truth and sum(r["tf"] for r in out) == 2 * len(rows_)
+    assert sorted(d for b in blocks.values() for d in b.tolist()) == sorted({d for d, _ in rows_})
+    assert max(map(len, blocks.values())) <= records
+    assert len({(r["term"], r["block"]) for r in out}) == len(out)
 
 
 def brute(data):
@@ -74,18 +102,29 @@ def test_frequencies_against_brute_force(spark):
     df, truth = postings(spark)
     df = df.repartition(5).cache()
     assert rows(B.term_frequencies(df)) == sorted((t, len(d), sum(d.values())) for t, d in truth.items())
-    index = B.term_bitmaps(df).collect()
-    held = defaultdict(set)
-    for r in index:
-        held[r.term] |= {int(x) + (r.block << 16) for x in B.from_container(bytes(r.container), r.docs)}
+    index = B.vertical_index(df).collect()
+    held, blocks = decoded(index)
     assert held == {t: set(d) for t, d in truth.items()}
     assert len({(r.term, r.block) for r in index}) == len(index)
+    assert max(r.docs for r in index if r.term is not None) > B.ARRAY_MOST
+    assert B.term_bitmaps(df).count() == len(index) - len(blocks)
     docs = {d for t in truth.values() for d in t}
     assert rows(B.record_count(df)) == [(len(docs),)]
     marks = {r.term: r.mark for r in B.marked_terms(df).collect()}
     assert marks == {t: "rare" if len(d) < 3 else "common" if len(d) / len(docs) > 0.1 else None for t, d in truth.items()}
 
 
+def test_records_of_very_many_rows(spark, monkeypatch):
+    """They are spread by term, and counted once."""
+    monkeypatch.setattr(B, "HOT_ROWS", 50)
+    data = [(f"t{k}", d, 1, AT, 0, 0) for d in (1, 2) for k in range(200)] + [("t0", 1, 1, AT, 0, 0)] * 300 + [("t0", d, 3, AT, 0, 0) for d in range(10, 40)] + [(None, 3, 1, AT, 0, 0)] * 99
+    df, truth = spark.createDataFrame(data, POSTINGS), brute(data)
+    assert rows(B.term_frequencies(df)) == sorted((t, len(d), sum(d.values())) for t, d in truth.items())
+    assert rows(B.record_count(df)) == [(32,)]
+    held, blocks = decoded(B.vertical_index(df).collect())
+    assert held == {t: set(d) for t, d in truth.items()} and {1, 2} < set(blocks)
+
+
 def test_no_postings(spark):
     df = spark.createDataFrame([], POSTINGS)
     assert rows(B.marked_terms(df)) == rows(B.term_bitmaps(df)) == [] and rows(B.record_count(df)) == [(0,)]
