@@ -66,6 +66,17 @@ def heavy_keys(results: DataFrame, share: float, kind: str | None = None, entrie
     return results.join(totals, "_kind").where(at_least_share(F.col(entries), F.col("_total"), share)).drop("_kind", "_total")
 
 
+def heavy_hitters(rows: DataFrame, key: str, least: int) -> list:
+    """Values of ``key`` that about ``least`` rows or more have, if these are a thousandth of all rows: 1,000 at most, without nulls.
+
+    One mergeable sketch of bounded size for each task, and no shuffle of keys. It is approximate, so it may decide how a
+    result is computed, never what it is.
+    """
+    sketch = F.expr(f"approx_top_k(`{key}`, 1000, 16384)")
+    found = rows.where(F.col(f"`{key}`").isNotNull()).agg(sketch.alias("t")).first().t
+    return [r["item"] for r in found or [] if r["count"] >= least]
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with written ``facts``, which has one row for each key and in ``count`` how many of the ``total`` rows have it.
 

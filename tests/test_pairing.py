@@ -104,3 +104,11 @@ def test_small_counts_bytes_too(spark):
     wide = spark.createDataFrame([("x" * 1000, [1] * 100)] * 10, "a string, b array<int>")
     assert is_small(wide) and is_small(wide, size=20_000) and not is_small(wide, size=10_000) and not is_small(wide, rows=9)
     assert is_small(wide.limit(0), rows=0)
+
+
+def test_heavy_hitters(spark):
+    keys = F.when(F.col("id") % 3 == 0, F.lit(-7)).when(F.col("id") % 1000 == 1, F.lit(5)).otherwise(F.col("id"))
+    df = spark.range(300_000, numPartitions=5).select(keys.alias("k e"), F.lit(None).cast("string").alias("none"))
+    assert skew.heavy_hitters(df, "k e", 50_000) == [-7] and skew.heavy_hitters(df, "k e", 200_000) == []
+    assert sorted(skew.heavy_hitters(df, "k e", 150)) == [-7, 5]
+    assert skew.heavy_hitters(df, "none", 1) == skew.heavy_hitters(df.limit(0), "k e", 1) == []
