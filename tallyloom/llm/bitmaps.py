@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.skew import heavy_hitters
+from tallyloom.llm.records import postings_by_record
 from tallyloom.session import cut, ship
-from tallyloom.sources.tables import current_rows, postings_in_force, valid_postings
 
 #: Records of a block.
 BLOCK_RECORDS = 1 << 16
@@ -32,8 +31,6 @@ BLOCK_POSTINGS = 1 << 22
 BLOCK_BYTES = 1 << 28
 #: Records of a container up to which it is an array.
 ARRAY_MOST = 4096
-#: Rows of a record from which on they are spread over tasks, if they are a thousandth of all rows too.
-HOT_ROWS = 1 << 20
 SCHEMA = "term string, block bigint, docs int, tf bigint, container binary"
 NAMES = ["term", "block", "docs", "tf", "container"]
 
@@ -122,20 +119,16 @@ def vertical_index(postings: DataFrame) -> DataFrame:
     """(term, block, docs, tf, container) of postings (term, docno, tf, written_at) in force.
 
     A row with a term is its container in the block, whose name is the block's first docno; each block has one row without a term, which holds
-    the docnos of its records in the order of their numbers. Records of ``HOT_ROWS`` rows or more have blocks of their own. Rows that are no posting are left out (see ``valid_postings``); docnos may be negative. An empty table gives no rows.
+    the docnos of its records in the order of their numbers. Records of very many rows have blocks of their own. Rows that are no posting are left out (see ``postings_by_record``); docnos may be negative. An empty table gives no rows.
     """
     ship(postings.sparkSession)
-    hot = heavy_hitters(postings, "docno", HOT_ROWS)
-    rest = postings.where(~F.col("docno").isin(hot)) if hot else postings
-    # rows of a record lie together, so those in force are found without another shuffle, and come sorted by docno
-    together = valid_postings(rest).select("term", "docno", "tf", "written_at").repartition("docno")
-    rows = current_rows(together, ["docno", "term"], "written_at", ["tf"]).sortWithinPartitions("docno")
-    index = rows.select("term", "docno", "tf").mapInArrow(_blocks, SCHEMA)
-    if not hot:
+    rows, spread = postings_by_record(postings)
+    index = rows.sortWithinPartitions("docno").select("term", "docno", "tf").mapInArrow(_blocks, SCHEMA)
+    if spread is None:
         return index
-    rows = cut(postings_in_force(postings.where(F.col("docno").isin(hot))))
-    names = rows.select("docno").distinct().mapInArrow(_hot_records, SCHEMA)
-    return index.unionByName(rows.mapInArrow(_hot_containers, SCHEMA)).unionByName(names)
+    spread = cut(spread.select("term", "docno", "tf"))
+    names = spread.select("docno").distinct().mapInArrow(_hot_records, SCHEMA)
+    return index.unionByName(spread.mapInArrow(_hot_containers, SCHEMA)).unionByName(names)
 
 
 def _hot_containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

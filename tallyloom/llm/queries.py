@@ -67,7 +67,7 @@ def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.leading_terms(relevance.score_terms(load(spark, folder, "postings")), MARGIN)
+    return relevance.leading_terms(relevance.tf_idf(load(spark, folder, "postings")), MARGIN)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Method: term frequencies saturate, lengths of records are normalised by the average, and a term weighs by how few
 records hold it. Collection frequencies, lengths and the average cover all records.
 
-A term in a third of the records would make one task of a join very long, so facts about keys are attached in two
-ways: keys that hold a noticeable share of all rows, a bounded number of them, by broadcast; the rest by a shuffle in
-which no key is large.
+One shuffle brings the postings of a record together; there its rows in force, its length and its first row are found, and the whole is
+written once. Frequencies of terms come by broadcast where a count shows that they are small; else those of terms with a noticeable
+share of all rows, a bounded number of them, by broadcast, and the rest by a shuffle in which no key is large.
 """
 
 from __future__ import annotations
@@ -14,9 +14,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.operators.skew import attach
+from tallyloom.llm.records import postings_by_record
+from tallyloom.operators.skew import lookup
 from tallyloom.session import cut
-from tallyloom.sources.tables import postings_in_force
+
+
+def _index(postings: DataFrame, lengths: bool) -> DataFrame:
+    """(docno, term, tf, first) and, if asked for, doc_length: ``first`` marks one row of each record; written."""
+    rows, hot = postings_by_record(postings)
+    record = Window.partitionBy("docno")
+    index = rows.withColumn("first", F.row_number().over(record.orderBy("term")) == 1)
+    if lengths:
+        index = index.withColumn("doc_length", F.sum("tf").over(record))
+    if hot is not None:
+        hot = cut(hot)
+        whole = hot.groupBy("docno").agg(F.min("term").alias("least"), F.sum("tf").alias("doc_length"))
+        more = hot.join(F.broadcast(whole), "docno").withColumn("first", F.col("term") == F.col("least"))
+        index = index.unionByName(more.select(*index.columns))
+    return cut(index)
+
+
+def _scored(postings: DataFrame, lengths: bool) -> tuple[DataFrame, int, float]:
+    """Postings in force with df, the number of records, and the average length of a record."""
+    index = _index(postings, lengths)
+    whole = index.agg(F.count(F.when(F.col("first"), 1)).alias("n"), F.sum(F.col("tf").cast("double")).alias("tokens")).first()
+    frequencies = cut(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return lookup(index.drop("first"), frequencies, "term", "df"), whole.n, (whole.tokens or 0.0) / max(whole.n, 1) or 1.0
 
 
 def score_terms(postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -26,13 +49,7 @@ def score_terms(postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFr
     ``tf_idf`` = tf * log10(N / df). ``doc_length`` is the sum of tf of a record, N the number of records. Rows
     that are no posting are left out; an empty table gives no rows.
     """
-    index = cut(postings_in_force(postings))
-    lengths = cut(index.groupBy("docno").agg(F.sum("tf").alias("doc_length"), F.count(F.lit(1)).alias("doc_terms")))
-    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_length").cast("double")).alias("tokens"), F.sum("doc_terms").alias("rows")).first()
-    records, rows = whole.n, whole.rows or 0
-    average = (whole.tokens or 0.0) / max(records, 1) or 1.0
-    frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = attach(attach(index, frequencies, "term", "df", rows), lengths, "docno", "doc_terms", rows)
+    joined, records, average = _scored(postings, True)
     n, df, tf = F.lit(float(records)), F.col("df"), F.col("tf")
     idf = F.log1p((n - df + 0.5) / (df + 0.5))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_length") / F.lit(average))
@@ -41,6 +58,13 @@ def score_terms(postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFr
     )
 
 
+def tf_idf(postings: DataFrame) -> DataFrame:
+    """(docno, term, tf, df, records, tf_idf): the ``tf_idf`` of ``score_terms``, without the lengths of records, which it does not need."""
+    joined, records, _ = _scored(postings, False)
+    score = F.col("tf") * F.log10(F.lit(float(records)) / F.col("df"))
+    return joined.select("docno", "term", "tf", "df", F.lit(records).cast("bigint").alias("records"), score.alias("tf_idf"))
+
+
 def leading_terms(scored: DataFrame, margin: float, score: str = "tf_idf") -> DataFrame:
     """(docno, term): the term of highest score of a record with at least two terms, if that is above 0 and at
     least ``margin`` times the second highest.

@@ -7,8 +7,8 @@ import pytest
 from rows import rows
 
 from tallyloom.llm import bitmaps as B
-from tallyloom.llm import relevance, topterms
-from tallyloom.operators import skew
+from tallyloom.llm import records, relevance, topterms
+from tallyloom.operators import numbering, skew
 
 COUNTS = "term string, cell_count bigint, total int, item int"
 POSTINGS = "term string, docno bigint, tf bigint, written_at timestamp_ntz, df int, block int"
@@ -116,7 +116,7 @@ def test_frequencies_against_brute_force(spark):
 
 def test_records_of_very_many_rows(spark, monkeypatch):
     """They are spread by term, and counted once."""
-    monkeypatch.setattr(B, "HOT_ROWS", 50)
+    monkeypatch.setattr(records, "HOT_ROWS", 50)
     data = [(f"t{k}", d, 1, AT, 0, 0) for d in (1, 2) for k in range(200)] + [("t0", 1, 1, AT, 0, 0)] * 300 + [("t0", d, 3, AT, 0, 0) for d in range(10, 40)] + [(None, 3, 1, AT, 0, 0)] * 99
     df, truth = spark.createDataFrame(data, POSTINGS), brute(data)
     assert rows(B.term_frequencies(df)) == sorted((t, len(d), sum(d.values())) for t, d in truth.items())
@@ -128,12 +128,18 @@ def test_records_of_very_many_rows(spark, monkeypatch):
 def test_no_postings(spark):
     df = spark.createDataFrame([], POSTINGS)
     assert rows(B.marked_terms(df)) == rows(B.term_bitmaps(df)) == [] and rows(B.record_count(df)) == [(0,)]
-    assert rows(relevance.score_terms(df)) == []
+    assert rows(relevance.score_terms(df)) == rows(relevance.tf_idf(df)) == []
 
 
-@pytest.mark.parametrize("hot", [1 / 2048, 0.05])
-def test_scores_against_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, dictionary, hot_rows", [(1 / 2048, 400_000, 1 << 20), (0.05, 0, 1 << 20), (1 / 2048, 400_000, 12)])
+def test_scores_against_brute_force(spark, hot, dictionary, hot_rows, monkeypatch):
+    """Frequencies by broadcast and by joins; ordinary records and ones that are spread."""
     monkeypatch.setattr(skew, "HOT_SHARE", hot)
+    monkeypatch.setattr(numbering, "BROADCAST_ROWS", dictionary)
+    monkeypatch.setattr(records, "HOT_ROWS", hot_rows)
+    if hot_rows == 12:
+        real = records.heavy_hitters
+        monkeypatch.setattr(records, "heavy_hitters", lambda rows, key, least: [*real(rows, key, least), 65600, 66500, 7])
     df, truth = postings(spark)
     lengths, docs = defaultdict(int), defaultdict(dict)
     for t, d in truth.items():
@@ -155,3 +161,6 @@ def test_scores_against_brute_force(spark, hot, monkeypatch):
         if len(scores) > 1 and scores[0][0] > 0 and scores[0][0] >= 2.1 * scores[1][0]:
             leading.append((docno, scores[0][1]))
     assert rows(relevance.leading_terms(scored, 2.1)) == sorted(leading)
+    plain = relevance.tf_idf(df)
+    assert rows(plain) == rows(scored, *plain.columns)
+    assert "doc_length" not in plain._jdf.queryExecution().toString()
