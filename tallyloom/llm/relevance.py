@@ -37,9 +37,10 @@ def _index(postings: DataFrame, lengths: bool) -> DataFrame:
 def _scored(postings: DataFrame, lengths: bool) -> tuple[DataFrame, int, float]:
     """Postings in force with df, the number of records, and the average length of a record."""
     index = _index(postings, lengths)
-    whole = index.agg(F.count(F.when(F.col("first"), 1)).alias("n"), F.sum(F.col("tf").cast("double")).alias("tokens")).first()
-    frequencies = cut(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return lookup(index.drop("first"), frequencies, "term", "df"), whole.n, (whole.tokens or 0.0) / max(whole.n, 1) or 1.0
+    counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("first"), 1)).alias("records"), F.sum(F.col("tf").cast("double")).alias("tokens"))
+    frequencies = cut(counted)
+    whole = frequencies.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n"), F.sum("tokens").alias("tokens")).first()
+    return lookup(index.drop("first"), frequencies.select("term", "df"), "term", "df"), whole.n, (whole.tokens or 0.0) / max(whole.n, 1) or 1.0
 
 
 def score_terms(postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
