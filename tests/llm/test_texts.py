@@ -42,7 +42,8 @@ def test_all_documents_equal_the_other_library(spark, reference):
 
 
 def test_cut_texts_have_the_same_ids(monkeypatch):
-    coder = Z.encoding(Z.rank_path())
+    vocabulary = Z.Vocabulary.read()
+    coder = vocabulary.encoding()
     draw = random.Random(3)
     bits = ["word", " ", "  ", "\n", "don't", "'s", "…", "12.5", "中文。", "ไทย", "!?", " ", "\x1c", "é", "x,y", "I'll"]
     for _ in range(200):
@@ -53,7 +54,24 @@ def test_cut_texts_have_the_same_ids(monkeypatch):
     assert list(Z.parts("x" * 100, 10)) == ["x" * 100]
     monkeypatch.setattr(Z, "PART", 50)
     text = "a word, and another one. " * 100
-    assert list(Z.encode(coder, text)) == coder.encode_ordinary(text)
+    assert list(Z.encode(vocabulary, text)) == coder.encode_ordinary(text)
+
+
+def test_workers_need_no_file(spark, tmp_path):
+    """Tasks get the ranks from the driver; another file needs its own pattern."""
+    import shutil
+
+    own = shutil.copy(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tmp_path / "ranks")
+    df = spark.createDataFrame([(i, t, "l", "clash", 1) for i, t in enumerate(TEXTS)], DOCS)
+    expected = {i: Z.Vocabulary.read(own, public_tokenizers.PATTERN).encoding().encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    by_words = Z.Vocabulary.read(own, r"\S+|\s+")
+    assert not by_words.safe
+    encoded, words = Z.encode_texts(df, path=own, pattern=public_tokenizers.PATTERN), Z.encode_texts(df, path=own, pattern=by_words.pattern)
+    (tmp_path / "ranks").unlink()
+    assert dict(rows(encoded)) == expected
+    assert dict(rows(words)) == {i: by_words.encoding().encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    with pytest.raises(ValueError):
+        Z.encode_texts(df, path=str(tmp_path / "ranks"))
 
 
 def check_packing(sizes, packed, limits):
