@@ -5,8 +5,9 @@ are placed from the largest to the smallest; of the open containers that can tak
 constraint the one is chosen whose weighted residual has the smallest norm after it, or the largest weighted dot product with the
 item. Only an item beyond the capacity is split: into full pieces and a rest.
 
-Items are spread by a hash over shards of a bounded number of items, packed independently; what is
-left in containers that are not well filled is packed once more over many shards together.
+Items are spread by a hash over shards of a bounded number of items, packed independently, each shard in a task of its own as long as there are not
+very many; what is left in containers that are not well filled is packed once more over many shards together. Where all items are one shard, there
+is nothing to put together, and one round does.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, ship
+from tallyloom.session import cut, parallelism, ship
 
 #: Items of a shard, on average.
 SHARD_ITEMS = 8192
+#: Shards that a task packs one after another, where there are more shards than tasks are wanted.
+SHARDS_OF_A_TASK = 16
 #: Containers filled below this share go to the second round.
 WELL_FILLED = 0.98
 
@@ -110,16 +113,21 @@ def pack(items: DataFrame, limits: Limits, key: str = "doc_id", size: str = "n_t
     shards = max(1, round(count / shard_items))
     # ties between equal items of one shard are settled by key and part
     sharded = cuts.withColumn("shard", F.pmod(F.xxhash64("k", "part"), F.lit(shards)))
-    first = cut(_packed(sharded, limits, "a", dict(cuts.dtypes)["k"]))
-    whole = first.where("well")
+    first = cut(_packed(sharded, shards, limits, "a", dict(cuts.dtypes)["k"]))
+    if shards == 1:
+        return _named(first, key)
     again = first.where("NOT well")
-    groups = max(1, round(again.count() / shard_items)) if shards > 1 else 1
-    second = _packed(again.select("k", "part", "n", F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("shard")), limits, "b", dict(cuts.dtypes)["k"])
-    both = whole.unionByName(second) if shards > 1 else first
-    return both.select(F.col("k").alias(key), "part", F.col("n").alias("n_tokens"), "container")
+    groups = max(1, round(again.count() / shard_items))
+    regrouped = again.select("k", "part", "n", F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("shard"))
+    second = _packed(regrouped, groups, limits, "b", dict(cuts.dtypes)["k"])
+    return _named(first.where("well").unionByName(second), key)
 
 
-def _packed(sharded: DataFrame, limits: Limits, level: str, kind: str) -> DataFrame:
+def _named(packed: DataFrame, key: str) -> DataFrame:
+    return packed.select(F.col("k").alias(key), "part", F.col("n").alias("n_tokens"), "container")
+
+
+def _packed(sharded: DataFrame, shards: int, limits: Limits, level: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[pa.RecordBatch] = []
         for batch in batches:
@@ -144,7 +152,9 @@ def _packed(sharded: DataFrame, limits: Limits, level: str, kind: str) -> DataFr
         columns = [table.column(c).combine_chunks() for c in ("k", "part", "n", "shard")]
         return pa.RecordBatch.from_arrays([*columns, names, pa.array(well)], ["k", "part", "n", "shard", "container", "well"])
 
-    ordered = sharded.select("k", "part", "n", "shard").repartition("shard").sortWithinPartitions("shard", F.desc("n"), "k", "part")
+    # a number of partitions of one's own: adaptive execution would put all shards into one task, since their rows are small
+    tasks = max(min(shards, 16 * parallelism(sharded.sparkSession)), shards // SHARDS_OF_A_TASK)
+    ordered = sharded.select("k", "part", "n", "shard").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", F.desc("n"), "k", "part")
     return ordered.mapInArrow(run, f"k {kind}, part int, n bigint, shard bigint, container string, well boolean")
 
 
@@ -153,6 +163,27 @@ def containers(packed: DataFrame) -> DataFrame:
     return packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
 
 
+def broken_limits(packed: DataFrame, limits: Limits, key: str = "doc_id") -> DataFrame:
+    """(limit, broken): for each constraint how many containers or items a packing breaks; a proof that it is one.
+
+    ``attention`` leaves out items alone in their container, ``whole`` counts items in several pieces that are not beyond the capacity, ``items_packed`` is
+    the number of items, for comparison with the table.
+    """
+    n = F.col("n_tokens").cast("bigint")
+    filled = packed.groupBy("container").agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("items"), F.sum(n.cast("decimal(38,0)") * n).alias("attention"))
+    over = filled.agg(
+        F.count(F.when(F.col("tokens") > limits.tokens, 1)).alias("tokens"),
+        F.count(F.when(F.col("items") > (limits.items or 1 << 62), 1)).alias("items"),
+        F.count(F.when((F.col("attention") > (limits.attention or limits.tokens**2)) & (F.col("items") > 1), 1)).alias("attention"),
+    )
+    each = packed.groupBy(key).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"))
+    split = F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(limits.tokens)))
+    items = each.agg(F.count(F.when(split | (F.col("last") != F.col("parts") - 1), 1)).alias("whole"), F.count(F.lit(1)).alias("items_packed"))
+    wide = over.select("tokens", "items", "attention", F.lit(None).cast("bigint").alias("whole"), F.lit(None).cast("bigint").alias("items_packed"))
+    wide = wide.unionByName(items.select(*[F.lit(None).cast("bigint").alias(c) for c in ("tokens", "items", "attention")], "whole", "items_packed"))
+    return wide.unpivot([], ["tokens", "items", "attention", "whole", "items_packed"], "limit", "broken").where("broken IS NOT NULL")
+
+
 def least_containers(total_tokens: int, capacity: int) -> int:
     """No packing can do with fewer containers."""
     return math.ceil(total_tokens / capacity)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bitmaps, packing, pairs, relevance, sentences, tokenizer, topn, topterms
+from tallyloom.session import cut
 from tallyloom.sources import lines_in_force, load, ranks_in_force
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,8 @@ RARE_BELOW, COMMON_ABOVE = 3, 0.1
 TOP_NODES = 5
 MARGIN = 2.1
 CAPACITY = 2048
+#: A container of the constrained packing: few documents, and half the attention cost of one long text.
+CONSTRAINED = packing.Limits(CAPACITY, items=6, attention=CAPACITY**2 // 2, rule="dot")
 
 
 def _pairs(spark: SparkSession, folder: str, min_count: int = MIN_PAIRS) -> DataFrame:
@@ -88,6 +91,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(_packed(spark, folder))
 
 
+def p8_constrained(spark: SparkSession, folder: str) -> DataFrame:
+    """A packing under all three constraints, as the number of breaks of each."""
+    packed = cut(packing.pack(tokenizer.count_tokens(load(spark, folder, "documents")), CONSTRAINED))
+    return packing.broken_limits(packed, CONSTRAINED)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(load(spark, folder, "documents"))
 
@@ -108,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "p7_round_trip": p7_round_trip,
     "p8_pack": _packed,
     "p8_containers": p8_containers,
+    "p8_constrained": p8_constrained,
     "p9_found": p9_found,
 }
 
@@ -147,5 +157,6 @@ ORACLE: dict[str, str] = {
     "p6_scores": f"WITH {POSTINGS}, {SCORES} SELECT docno, term, round(bm25, 6) AS bm25, round(tf_idf, 6) AS tf_idf FROM scores",
     "p6_found": f"""WITH {POSTINGS}, {SCORES}, two AS (SELECT *, row_number() OVER (PARTITION BY docno ORDER BY tf_idf DESC, term) AS rank FROM scores)
       SELECT docno, a.term FROM two a JOIN two b USING (docno) WHERE a.rank = 1 AND b.rank = 2 AND a.tf_idf > 0 AND a.tf_idf >= {MARGIN}::DOUBLE * b.tf_idf""",
+    "p8_constrained": "SELECT * FROM (VALUES ('tokens', 0), ('items', 0), ('attention', 0), ('whole', 0)) t(\"limit\", broken) UNION ALL SELECT 'items_packed', count(*) FROM documents",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from rows import rows
 from tokenizers import Tokenizer
 
@@ -98,6 +99,8 @@ def test_packing(spark, limits, shard):
     df = spark.createDataFrame([(i, n, 0, "x") for i, n in sizes.items()], "doc_id bigint, n_tokens bigint, part int, container string")
     packed = [tuple(r) for r in K.pack(df, limits, shard_items=shard).collect()]
     used = check_packing(sizes, packed, limits)
+    broken = dict(rows(K.broken_limits(K.pack(df, limits, shard_items=shard), limits)))
+    assert broken == {"tokens": 0, "items": 0, "attention": 0, "whole": 0, "items_packed": len(sizes)}
     if limits == K.Limits(100):
         assert used <= 1.02 * K.least_containers(sum(max(n or 0, 0) for n in sizes.values()), 100) + 2
     if shard == 150:
@@ -113,5 +116,21 @@ def test_packing_of_little(spark):
         K.Limits(0)
 
 
+def test_broken_limits_are_found(spark):
+    packed = spark.createDataFrame([(1, 0, 60, "a"), (2, 0, 50, "a"), (3, 0, 1, "b"), (4, 0, 1, "b"), (5, 0, 1, "b"), (6, 0, 5, "c"), (6, 1, 5, "d"), (7, 0, 95, "e")], "doc_id int, part int, n_tokens bigint, container string")
+    assert dict(rows(K.broken_limits(packed, K.Limits(100, 2, 6000)))) == {"tokens": 1, "items": 1, "attention": 1, "whole": 1, "items_packed": 7}
+    assert dict(rows(K.broken_limits(packed.limit(0), K.Limits(100)))) == {"tokens": 0, "items": 0, "attention": 0, "whole": 0, "items_packed": 0}
+
+
+def test_each_shard_has_a_task(spark):
+    """Small rows do not make adaptive execution pack all shards in one task."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 1).alias("n_tokens"))
+    packed = K.pack(df, K.Limits(100), shard_items=500)
+    first = packed.where("container LIKE 'a%'").select(F.regexp_extract("container", "a([0-9]+)-", 1).alias("shard")).distinct().count()
+    assert first == 8
+    shards = df.select(F.col("doc_id").alias("k"), F.lit(0).alias("part"), F.col("n_tokens").alias("n"), F.pmod("doc_id", F.lit(8)).alias("shard"))
+    assert K._packed(shards, 8, K.Limits(100), "a", "bigint").select(F.spark_partition_id().alias("p"), "shard").distinct().groupBy("p").count().count() == 8
+
+
 def test_best_fit_prefers_the_tightest():
     assert list(K.best_fit(np.array([70, 60, 30, 30, 10]), K.Limits(100))) == [0, 1, 0, 1, 1]
