@@ -1,0 +1,68 @@
+import pytest
+from rows import rows
+
+from tallyloom.cli import main
+
+
+@pytest.fixture
+def run(spark, tmp_path, capsys):
+    def program(name, *options):
+        main([name, *[str(tmp_path / o[1:]) if o.startswith("@") else o for o in options]], spark)
+        return [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+
+    return program
+
+
+def test_words(run, spark, tmp_path):
+    (tmp_path / "lines").write_text("a b! a\n\nb! c\n")
+    run("word-count", "--input", "@lines", "--output", "@counts", "--num-reducers", "2")
+    assert rows(spark.read.text(str(tmp_path / "counts"))) == [("a\t2",), ("b!\t2",), ("c\t1",)]
+    run("word-count", "--input", "@lines", "--output", "@alpha", "--alphabetic")
+    assert rows(spark.read.text(str(tmp_path / "alpha"))) == [("a\t2",), ("c\t1",)]
+    run("word-count", "--input", "@lines", "--output", "@table", "--table", "cli_words")
+    assert sorted(run("fetch", "--table", "cli_words", "--word", "a", "zz")) == [["a", "2"], ["zz", "0"]]
+    spark.sql("DROP TABLE cli_words")
+
+
+@pytest.mark.parametrize("form", [[], ["--stripes"], ["--marginals", "cf"]])
+def test_pmi(run, tmp_path, form):
+    (tmp_path / "lines").write_text("x y\n" * 10 + "x z\n" * 10 + "q\n" * 80)
+    run("pmi", "--input", "@lines", "--output", "@pmi", *form)
+    assert run("analyze-pmi", "--input", "@pmi", "--word", "z") == [["", "1", "x", "z", "0.69897"], ["z", "1", "x", "z", "0.69897"]]
+
+
+@pytest.mark.parametrize("form", [[], ["--compressed"]])
+def test_index(run, tmp_path, form):
+    (tmp_path / "lines").write_text("white rose\nred rose red\nwhite\n")
+    run("build-index", "--input", "@lines", "--output", "@index", *form)
+    assert run("lookup", "--index", "@index", "--term", "red", "white") == [["red", "11", "2"], ["white", "0", "1"], ["white", "24", "1"]]
+    assert run("lookup", "--index", "@index", "--term", "red", "--histogram") == [["red", "2", "1"]]
+    assert run("retrieve", "--index", "@index", "--collection", "@lines", "--query", "white red OR rose AND", "--snippet", "5") == [["0", "white"], ["11", "red r"]]
+
+
+def test_graph(run, spark, tmp_path):
+    (tmp_path / "text").write_text("1\t2\t3\n2\t3\n3\t1\n4\n")
+    assert run("pagerank-records", "--input", "@text", "--output", "@records", "--sources", "1,3") == [["4", "4", "3", "1"]]
+    for form in ([], ["--range"]):
+        run("partition-graph", "--input", "@records/graph", "--output", "@placed", "--num-nodes", "5", "--num-partitions", "2", *form)
+        assert rows(spark.read.parquet(str(tmp_path / "placed")), "node_id") == [(1,), (2,), (3,), (4,)]
+    run("pagerank", "--input", "@placed", "--output", "@ranks", "--sources", "1,3", "--iterations", "30")
+    top = run("top-nodes", "--input", "@ranks", "--top", "1", "--sources", "1")
+    assert [r[:2] for r in top] == [["1", "1"]] and top[0][2].endswith(" 1")
+    out = run("pagerank-to-convergence", "--input", "@text", "--source", "1", "--jump", "0.5")
+    assert out[:4] == [["components: 1"], ["edges: 4"], ["nodes: 3"], ["jump: 0.5"]]
+    assert [r[1] for r in out[4:]] == ["1", "3", "2"] and sum(float(r[0]) for r in out[4:]) == pytest.approx(1)
+
+
+def test_hours(run, spark, tmp_path):
+    (tmp_path / "posts").write_text("1\tu\tSun Jan 23 00:05:09 -0500 2011\tCairo\n2\tu\tTue Feb 1 23:00:00 +0000 2011\tnone\n")
+    run("hourly-counts", "--input", "@posts", "--output", "@all")
+    assert rows(spark.read.text(str(tmp_path / "all"))) == [("1/23\t05\t1",), ("2/1\t23\t1",)]
+    run("hourly-counts", "--input", "@posts", "--output", "@some", "--pattern", ".*(?i:cairo).*")
+    assert rows(spark.read.text(str(tmp_path / "some"))) == [("1/23\t05\t1",)]
+
+
+def test_wrong_options(run):
+    for options in (["nothing"], ["pmi", "--input", "x"]):
+        with pytest.raises(SystemExit):
+            run(*options)
