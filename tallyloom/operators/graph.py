@@ -59,7 +59,7 @@ def initial_ranks(graph: DataFrame, sources: Sequence[int]) -> DataFrame:
     """(node_id, source_id, pr) of every node and source: 1 where a node is its source, else 0."""
     if len(set(sources)) != len(sources):
         raise ValueError("sources must differ")
-    each = F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in sources]))
+    each = F.explode(F.array(*[F.lit(int(s)) for s in sources]).cast("array<bigint>"))
     return graph.select("node_id", each.alias("source_id")).withColumn("pr", F.when(F.col("node_id") == F.col("source_id"), 1.0).otherwise(0.0))
 
 
@@ -129,7 +129,7 @@ def personalized_pagerank(graph: DataFrame, sources: Sequence[int], iterations:
         ranks = _next_ranks(mass, sources, jump)
     if older is not None:
         discard(older)
-    every = graph.select("node_id", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in sources])).alias("source_id"))
+    every = graph.select("node_id", F.explode(F.array(*[F.lit(int(s)) for s in sources]).cast("array<bigint>")).alias("source_id"))
     return every.join(ranks, ["node_id", "source_id"], "left").select("node_id", "source_id", F.coalesce("pr", F.lit(0.0)).alias("pr"))
 
 

@@ -24,7 +24,8 @@ BOOLEAN = {
     "q26_boolean_or_and_and": "king temple OR the AND of AND",
     "q27_boolean_deep": "king temple OR unto shall AND OR stone AND",
 }
-SOURCES = [9001375, 9016281]
+#: So many sources, the first of the nodes that every graph holds.
+SOURCES = 2
 ROUNDS = 5
 PARTS = 5
 NODE_COUNT = 200_000_000
@@ -40,6 +41,15 @@ def _graph(spark: SparkSession, folder: str) -> DataFrame:
     return lists_in_force(load(spark, folder, "adjacency"))
 
 
+def _sources(spark: SparkSession, folder: str) -> list[int]:
+    nodes = load(spark, folder, "core_nodes").select("node_id").dropna().distinct()
+    return [r.node_id for r in nodes.orderBy("node_id").limit(SOURCES).collect()]
+
+
+def _ranks(spark: SparkSession, folder: str, rounds: int = ROUNDS) -> DataFrame:
+    return graph.personalized_pagerank(_graph(spark, folder), _sources(spark, folder), rounds)
+
+
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     return invindex.postings(_lines(spark, folder))
 
@@ -70,8 +80,11 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _converged(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranks of one source to convergence, from the highest on."""
-    return graph.descending(_rounded(graph.pagerank_to_convergence(_graph(spark, folder), SOURCES[0], CONVERGING_JUMP, TOLERANCE), "pr", 9))
+    """Ranks of the first common node with neighbours to convergence, from the highest on."""
+    nodes = _graph(spark, folder)
+    common = nodes.where(F.size("nbrs") > 0).join(load(spark, folder, "core_nodes").select("node_id"), "node_id", "left_semi")
+    source = common.agg(F.min("node_id")).first()[0]
+    return graph.descending(_rounded(graph.pagerank_to_convergence(nodes, source, CONVERGING_JUMP, TOLERANCE), "pr", 9))
 
 
 # What goes out through a sink and comes back through its source.
@@ -128,9 +141,7 @@ def _decoded_boolean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _first_mass(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _graph(spark, folder)
-    ranks = graph.personalized_pagerank(nodes, SOURCES, iterations=1)
-    mass = cut(graph.arrived(nodes, ranks))
+    mass = cut(graph.arrived(_graph(spark, folder), _ranks(spark, folder, 1)))
     total = mass.groupBy("source_id").agg(F.round(F.sum("mass"), 9).alias("total"))
     return total.join(graph.missing_mass(mass).select("source_id", F.round("missing", 9).alias("missing")), "source_id")
 
@@ -183,14 +194,14 @@ QUERIES: dict[str, Query] = {
     "q30_graph_counters": lambda s, d: graph.graph_counters(_graph(s, d)),
     "q31_dangling": lambda s, d: graph.dangling(_graph(s, d)),
     "q32_mass_and_loss": _first_mass,
-    "q33_pagerank": lambda s, d: _rounded(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS), "pr", 9),
-    "q34_pagerank_top": lambda s, d: graph.top_nodes(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS)),
+    "q33_pagerank": lambda s, d: _rounded(_ranks(s, d), "pr", 9),
+    "q34_pagerank_top": lambda s, d: graph.top_nodes(_ranks(s, d)),
     "q35_partition_sizes": _partition_sizes,
     "q36_weak_components": lambda s, d: graph.weak_components(_graph(s, d)),
     "q37_hourly_posts": lambda s, d: timebucket.hourly_posts(_posts(s, d)),
     "q38_hourly_posts_filtered": lambda s, d: timebucket.hourly_posts(_posts(s, d), ".*(?i:view|error).*"),
     "q39_message_counters": lambda s, d: graph.message_counters(_graph(s, d)),
-    "q40_rank_lines": lambda s, d: graph.rank_lines(graph.top_nodes(graph.personalized_pagerank(_graph(s, d), SOURCES, ROUNDS))),
+    "q40_rank_lines": lambda s, d: graph.rank_lines(graph.top_nodes(_ranks(s, d))),
     "q41_hourly_ordered": lambda s, d: timebucket.ordered(timebucket.hourly_counts(_events(s, d))),
     "q42_boolean_decoded": _decoded_boolean,
     "q43_stripes_cf": lambda s, d: _stripes(s, d, "cf"),
@@ -267,9 +278,8 @@ def _flags(where: str, line: str = "line") -> str:
 
 
 def _pagerank(rounds: int) -> str:
-    sources = ", ".join(f"({s})" for s in SOURCES)
     steps = [
-        f"{GRAPH}, src(source_id) AS (VALUES {sources})",
+        f"{GRAPH}, src AS MATERIALIZED (SELECT DISTINCT node_id AS source_id FROM core_nodes WHERE node_id IS NOT NULL ORDER BY node_id LIMIT {SOURCES})",
         "r0 AS MATERIALIZED (SELECT node_id, source_id, CASE WHEN node_id = source_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pr FROM lists, src)",
     ]
     for i in range(rounds):
@@ -285,9 +295,10 @@ def _pagerank(rounds: int) -> str:
 
 def _converging(rounds: int = 34) -> str:
     """Ranks of one source after so many rounds over all nodes with a link; 0.3 to their power is far below the digits that are compared."""
-    jump, source = f"{CONVERGING_JUMP}::DOUBLE", SOURCES[0]
+    jump, source = f"{CONVERGING_JUMP}::DOUBLE", "(SELECT s FROM seed)"
     steps = [
         f"{GRAPH}, ids AS MATERIALIZED (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)",
+        "seed AS MATERIALIZED (SELECT min(src) AS s FROM edges WHERE src IN (SELECT node_id FROM core_nodes))",
         f"r0 AS MATERIALIZED (SELECT node_id, (CASE WHEN node_id = {source} THEN 1 ELSE 0 END)::DOUBLE AS pr FROM ids)",
     ]
     for i in range(rounds):
@@ -297,7 +308,7 @@ def _converging(rounds: int = 34) -> str:
             f"r{i + 1} AS MATERIALIZED (SELECT node_id, (CASE WHEN node_id = {source} THEN {jump} + (1 - {jump}) * (mass + (SELECT greatest(0, 1 - sum(mass)) FROM m{i}))"
             f" ELSE (1 - {jump}) * mass END)::DOUBLE AS pr FROM m{i})",
         ]
-    return "WITH " + ", ".join(steps) + f" SELECT node_id, {source}::BIGINT AS source_id, round(pr, 9) AS pr FROM r{rounds} ORDER BY pr DESC, node_id"
+    return "WITH " + ", ".join(steps) + f" SELECT node_id, {source} AS source_id, round(pr, 9) AS pr FROM r{rounds} ORDER BY pr DESC, node_id"
 
 
 def _components(rounds: int = 12) -> str:

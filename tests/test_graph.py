@@ -121,7 +121,7 @@ def test_reached_nodes_only(spark):
     seeds = G._seeds(data, [0])
     assert G._reached(data, seeds.withColumn("pr", F.lit(1.0)), seeds).count() == 2
     assert G.personalized_pagerank(data, [0], 2).count() == 51
-    assert rows(G.personalized_pagerank(data.limit(0), [0], 2)) == []
+    assert rows(G.personalized_pagerank(data.limit(0), [0], 2)) == rows(G.personalized_pagerank(data, [], 2)) == []
     assert G.personalized_pagerank(data, [3], 0).where("pr > 0").collect() == [(3, 3, 1.0)]
 
 
