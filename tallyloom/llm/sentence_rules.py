@@ -76,8 +76,10 @@ MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober Nove
 GERMAN_BEFORE_ORDINALS = "der die das den dem des am vom zum zur im beim ab bis seit jeder jede jedes ein eine einem einer"
 SAYING = (
     "said says asked asks cried cries replied replies answered whispered shouted called exclaimed added murmured muttered wondered thought laughed sighed wrote began "
-    "continued demanded insisted repeated screamed yelled remarked observed returned declared inquired enquired interrupted told snapped growled"
+    "continued demanded insisted repeated screamed yelled remarked declared inquired enquired interrupted"
 )
+#: They begin a sentence and say nothing.
+NO_SPEAKERS = "It Its This That These Those There Here Then Now Still Yet So And But Or"
 #: Code points of the other scripts' marks: the rest of Unicode's Sentence_Terminal, and the Tibetan shads. Without U+104A, a comma in Burmese.
 OTHER_SCRIPTS = (
     "61D-61E 700-702 7F9 837 839 83D-83E F0D-F12 1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB 1B4E-1B4F 1B5A-1B5B "

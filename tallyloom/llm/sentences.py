@@ -36,7 +36,7 @@ SPANS = regex.compile(
 )
 OPENS = re.compile("[„“«»‘\"「『《（(\\[【]")
 BRACKETS = "([（【"
-GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]|\s*(?:I|He|She|We|They|{R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b")
+GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]|\s*(?:I|(?!(?:{R.NO_SPEAKERS.replace(' ', '|')})\b){R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b")
 SAID_AFTER = regex.compile("|".join(rf"(?:\s*{p})" for p in R.SAYING_AFTER))
 GREEK_QUESTION = regex.compile(r"\p{Greek};")
 ATTACHED = regex.compile(r"(?:\p{Hangul}|\p{Hiragana})|\s?(?:하고|라고)")

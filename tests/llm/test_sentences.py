@@ -192,6 +192,7 @@ def test_long_blanks_and_dashes(blanks):
         "It was built c. 1850 by M. Smith and D. Jones of the U.S. Army.",
         "Il vit M. Zapa et Me. Nolo.| El libro de D. Zapa y D. Nolo.",
         "It fell. Dr. Zade kam z. B. am 3. Mai.| Vgl. Bd. 2, S. 61, zum Garten.| It rose.".replace("fell. Dr", "fell.| Dr"),
+        "Zade said, “It rose.”| It began again.| “It rose!” Zade remarked.| “Now!” He cried.",
         "»Es fiel.« Er ging.| »Es fiel«, sagte er.| Er fragte: »Wer kam?«".replace("fiel.« Er", "fiel.«| Er"),
     ],
 )
