@@ -38,6 +38,8 @@ OPENS = re.compile("[„“«»‘\"「『《（(\\[【]")
 BRACKETS = "([（【"
 GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]|\s*(?:I|(?!(?:{R.NO_SPEAKERS.replace(' ', '|')})\b){R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b")
 SAID_AFTER = regex.compile("|".join(rf"(?:\s*{p})" for p in R.SAYING_AFTER))
+#: Closing signs of quotations that end with the one around them.
+INNER_CLOSING = "”’»\"“"
 GREEK_QUESTION = regex.compile(r"\p{Greek};")
 ATTACHED = regex.compile(r"(?:\p{Hangul}|\p{Hiragana})|\s?(?:하고|라고)")
 CAPITAL_NEXT = regex.compile(rf"\s*+(?:{R.OPENING}++\s*+)?{R.CAPITAL}")
@@ -129,40 +131,46 @@ class Languages:
         return R.LANGUAGES[counts.index(most)] if most and counts.count(most) == 1 else None
 
 
-def _carried(unit: str, begin: int, end: int, lower: int) -> bool:
-    """Whether the sentence goes on behind the quotation or bracket ``unit[begin:end]``. ``lower``: where its context begins."""
+def _guard(unit: str, begin: int, end: int, lower: int) -> int | None:
+    """Up to where no mark in the quotation or bracket ``unit[begin:end]`` ends a sentence; None if its sentences stand for themselves.
+
+    All of it where the sentence goes on behind; up to its last marks where the sentence began before it and ends with it. ``lower``: where its context begins.
+    """
     before = unit[max(lower, begin - 8) : begin].rstrip()
-    inside = unit[begin + 1 : end - 1].rstrip()
+    inside = unit[begin + 1 : end - 1].rstrip().rstrip(INNER_CLOSING)
     last = inside[-1:]
     marked = bool(last) and last in R.MARKS or last == ";" and GREEK_QUESTION.fullmatch(inside[-2:]) is not None
     starts = not before or before[-1] in R.MARKS or before[-1] in "”»’\"）)]」』" or regex.match(EMOJI, before[-1]) is not None
     if not marked:
-        return True
+        return end
     if unit[begin] in BRACKETS:
-        return not starts
+        return None if starts else end
     if unit[begin] == "《":
-        return True
+        return end
     if not VISIBLE.search(unit, end):
-        return False
-    if GOES_ON.match(unit, end):
-        return True
-    if starts:
-        return SAID_AFTER.match(unit, end) is not None
-    if before[-1] in ":：,،，":
-        return ATTACHED.match(unit, end) is not None
-    return CAPITAL_NEXT.match(unit, end) is None
+        goes_on = False
+    elif GOES_ON.match(unit, end):
+        goes_on = True
+    elif starts:
+        goes_on = SAID_AFTER.match(unit, end) is not None
+    elif before[-1] in ":：,،，":
+        goes_on = ATTACHED.match(unit, end) is not None
+    else:
+        goes_on = CAPITAL_NEXT.match(unit, end) is None
+    if goes_on:
+        return end
+    return None if starts else begin + 1 + len(inside.rstrip(R.MARKS + ";"))
 
 
 def _guarded(unit: str, closed: set[int], lower: int = 0, upper: int | None = None) -> list[tuple[int, int]]:
-    """Spans inside which no mark ends a sentence, in order. ``closed`` gets the ends of all spans."""
+    """Spans inside which no mark ends a sentence, in order. ``closed`` gets the ends of all quotations and brackets."""
     spans: list[tuple[int, int]] = []
     for found in SPANS.finditer(unit, lower, len(unit) if upper is None else upper):
         begin, end = found.span()
         closed.add(end)
-        if _carried(unit, begin, end, lower):
-            spans.append((begin, end))
-        else:
-            spans += _guarded(unit, closed, begin + 1, end - 1)
+        until = _guard(unit, begin, end, lower)
+        inner = _guarded(unit, closed, begin + 1, end - 1) if until != end else []
+        spans += inner if until is None else [(begin, until)]
     return spans
 
 

@@ -14,7 +14,7 @@ Der Ort hat ca. 3.000 Einwohner und liegt z. B. näher an Köln als Bonn, d. h.
 Longtemps, je me suis couché de bonne heure.| Parfois, à peine ma bougie éteinte, mes yeux se fermaient si vite que je n’avais pas le temps de me dire : « Je m’endors. »| Nous étions à l’étude, quand le proviseur entra, suivi d’un nouveau habillé en bourgeois.| M. Roger nous fit signe de nous rasseoir.| « Levez-vous », dit le professeur.| Il se leva ; sa casquette tomba.| Toute la classe se mit à rire.| Qui était-ce ?| Mme Bovary, née Dubuc, habitait au no. 12 de la rue Saint-Jean, p. ex. en hiver.
 En un lugar de la Mancha, de cuyo nombre no quiero acordarme, no ha mucho tiempo que vivía un hidalgo de los de lanza en astillero.| Frisaba la edad de nuestro hidalgo con los cincuenta años.| ¿Quién era el Sr. Quijada?| El Dr. García nació en 1850 a. C. según la pág. 12, p. ej., del vol. 3 de la obra.| ¡Qué disparate!| Nadie lo creyó.
 Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.| Все смешалось в доме Облонских.| Жена узнала, что муж был в связи с бывшею в их доме француженкою-гувернанткой.| Он родился в 1828 г. в Ясной Поляне, т. е. под Тулой.| Л. Н. Толстой умер в 1910 г. |Его книги читают и т. д. |Где же он?
-道可道，非常道。|名可名，非常名。|子曰：“学而时习之，不亦说乎？|有朋自远方来，不亦乐乎？”|他走了！
+道可道，非常道。|名可名，非常名。|子曰：“学而时习之，不亦说乎？有朋自远方来，不亦乐乎？”|他走了！
 吾輩は猫である。|名前はまだ無い。|どこで生れたかとんと見当がつかぬ。|「何だ？」と彼は言った。
 """.strip().split("\n")
 

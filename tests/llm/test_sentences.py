@@ -30,7 +30,7 @@ J. R. Grymer was born to A. Zolo.| Was it Vale Jr. who fell?| In the 1st ed. it
 It won 68–3.| It cost $ 49.4 at No. 39 Tefo Road.| Is it 59.02, 18.07 or .5?| So it is.
 The tower... well, it arrived.| Perhaps...| The end.| Why (and how?) Zade won is unknown.| Only one (i.e. this one) fell (see Fig. 31.) today.
 “Go. Take it. Run,” said Zade.| “Who won?” asked Zade.| “Zade! Vale!” the crown cried.| ‘Is it old?’ I asked.| The play “Sepum!” closed.
-Zade wrote: “It fell.| It slept.”| Then it rose.| Zade said, “It fell.”| “It sang,” said Zade, “and how.”| "Hold it!" cried Zade, and it fell.
+Zade wrote: “It fell. It slept.”| Then it rose.| Zade said, “It fell.”| “It sang,” said Zade, “and how.”| "Hold it!" cried Zade, and it fell.
 (It slept all night.)| [Aside] It fell.| It waited [citation needed].[66]| What?!| No!!!| It moved! 🎉| It stayed.
 It fell before dawn.|Vale saw it.| So it fell!|Then it rose.
 it fell again.| going there now.| ok.| Zade won.| stone mine law!! |who saw it?
@@ -39,10 +39,10 @@ M. Zapa vint p. ex. en 1771, voir t. 2, p. 3, n. 4.| «\xa0Partons\xa0! Il vient
 El Sr. Nylir y la Dra. Zodor, p. ej., vieron la pág. 17 del vol. 2.| ¡Qué día!| ¿Y él? —preguntó Zade.| Mide 34,4 km.| ¿Quién vino?
 Это было в 1999 г. в Неро, т. е. давно.| В 1999 г.| Им. Вело назван лес на ул. Ведра.| См. стр. 35 и рис. 2.| — Где он? — спросил Веро.| А. С. Веро пел.| Там были сады и т. д.| Ну… сад пел.
 Ποιος ήρθε;| Ο κ. Λοτα είδε π.χ. το 1874 τον τόπο· ο τόπος έχει 41,5 χλμ. και 20 μ. περίπου.| «Πού είναι;» ρώτησε ο Λορο.
-زار د. كاكا القصر.| ص. 49 من ج. 2 عن النهر.| «أين البرج؟» سأل زيزي.| قال كالو: «البرج هنا.| هيا بنا!»| ما أجمل البرج!
-ڈاکٹر نے کہا، “باغ یہاں ہے۔| چلو!”| لمبائی 48.3 ہے۔
-डॉ. तामी आया।| लंबाई 45.67 कि.मी. है।| “नदी कहाँ है?” लोलो ने पूछा।| उसने कहा, “बाग आया।| चलो!”| अंत हुआ॥
-“花园在哪里？”维诺问道。|维诺说：“高塔来了。|我们走吧！”|「船只。」|他用 Ver.2.0 看见了《山记》第3.2节。|真的吗？！|那座……也许好。|（他来了。）
+زار د. كاكا القصر.| ص. 49 من ج. 2 عن النهر.| «أين البرج؟» سأل زيزي.| قال كالو: «البرج هنا. هيا بنا!»| ما أجمل البرج!
+ڈاکٹر نے کہا، “باغ یہاں ہے۔ چلو!”| لمبائی 48.3 ہے۔
+डॉ. तामी आया।| लंबाई 45.67 कि.मी. है।| “नदी कहाँ है?” लोलो ने पूछा।| उसने कहा, “बाग आया। चलो!”| अंत हुआ॥
+“花园在哪里？”维诺问道。|维诺说：“高塔来了。我们走吧！”|「船只。」|他用 Ver.2.0 看见了《山记》第3.2节。|真的吗？！|那座……也许好。|（他来了。）
 「川はどこだ？」とルルは言った。|ミカルは「船が来た。逃げよう」と叫んだ。|Dr.ザネは来た。|え？！
 1821년에 왕을 보았다!| 네카가 “강이 왔다. 가자!” 하고 말했다.| “정원은 어디에 있소?”라고 물었다.| 길이는 16.3 km이다.
 1347 թ. Տավելո եկավ։| «Այգի է», ասաց Կակա։| Ո՞վ եկավ։
@@ -193,6 +193,9 @@ def test_long_blanks_and_dashes(blanks):
         "Il vit M. Zapa et Me. Nolo.| El libro de D. Zapa y D. Nolo.",
         "It fell. Dr. Zade kam z. B. am 3. Mai.| Vgl. Bd. 2, S. 61, zum Garten.| It rose.".replace("fell. Dr", "fell.| Dr"),
         "Zade said, “It rose.”| It began again.| “It rose!” Zade remarked.| “Now!” He cried.",
+        "He said: “It fell. It rose. Did it?” | Then he left.".replace(" | ", "| "),
+        "“It fell.| It rose.”| Then he left.| (It slept.| It woke.)| He wrote “It fell. It rose.”| Then he left.",
+        'He said: "She said: “It fell. It rose.”"| Then he left.',
         "»Es fiel.« Er ging.| »Es fiel«, sagte er.| Er fragte: »Wer kam?«".replace("fiel.« Er", "fiel.«| Er"),
     ],
 )
