@@ -36,7 +36,9 @@ SPANS = regex.compile(
 )
 OPENS = re.compile("[„“«»‘\"「『《（(\\[【]")
 BRACKETS = "([（【"
-GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]|\s*(?:I|(?!(?:{R.NO_SPEAKERS.replace(' ', '|')})\b){R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b")
+GOES_ON = regex.compile(rf"\s*[,;:،؛，；：、—–-]|\s*\p{{Ll}}|\s*[.!?。！？…]")
+#: Who said what stands before; not who says what follows.
+SPEAKER = regex.compile(rf"\s*(?:I|(?!(?:{R.NO_SPEAKERS.replace(' ', '|')})\b){R.CAPITAL}\p{{Ll}}+)\s+(?:{R.SAYING.replace(' ', '|')})\b(?!\s*[,:：]\s*{R.OPENING})")
 SAID_AFTER = regex.compile("|".join(rf"(?:\s*{p})" for p in R.SAYING_AFTER))
 #: Closing signs of quotations that end with the one around them.
 INNER_CLOSING = "”’»\"“"
@@ -136,7 +138,7 @@ def _guard(unit: str, begin: int, end: int, lower: int) -> int | None:
 
     All of it where the sentence goes on behind; up to its last marks where the sentence began before it and ends with it. ``lower``: where its context begins.
     """
-    before = unit[max(lower, begin - 8) : begin].rstrip()
+    before = unit[max(lower, begin - 8) : begin].rstrip().rstrip("\ufeff\u200b").rstrip()
     inside = unit[begin + 1 : end - 1].rstrip().rstrip(INNER_CLOSING)
     last = inside[-1:]
     marked = bool(last) and last in R.MARKS or last == ";" and GREEK_QUESTION.fullmatch(inside[-2:]) is not None
@@ -152,7 +154,7 @@ def _guard(unit: str, begin: int, end: int, lower: int) -> int | None:
     elif GOES_ON.match(unit, end):
         goes_on = True
     elif starts:
-        goes_on = SAID_AFTER.match(unit, end) is not None
+        goes_on = (SPEAKER.match(unit, end) or SAID_AFTER.match(unit, end)) is not None
     elif before[-1] in ":：,،，":
         goes_on = ATTACHED.match(unit, end) is not None
     else:
