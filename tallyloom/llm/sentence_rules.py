@@ -16,9 +16,9 @@ BREAK, KEEP = True, False
 #: A name follows.
 TITLES = {
     "english": "Mr Mrs Ms Messrs Dr Prof St Ste Gen Col Maj Capt Cpt Lt Sgt Cpl Adm Cmdr Gov Sen Rep Pres Rev Fr Hon Supt Insp Mt Ft",
-    "german": "Hr Hrn Fr Frl Dipl Ing Prof Dr St",
+    "german": "Hr Hrn Fr Frl Dipl Ing Prof Dr med phil jur rer nat St",
     "french": "M MM Mme Mmes Mlle Mlles Mgr Me Pr Dr St Ste",
-    "spanish": "Sr Sra Srta Sres Sras Dr Dra D Dña Ud Uds Prof Profa Ing Lic Gral Cap Sto Sta",
+    "spanish": "Sr Sra Srta Sres Sras Dr Dra D Dña Avda Ud Uds Prof Profa Ing Lic Gral Cap Sto Sta",
     "russian": "им Им ул г Г пр пл пер проф Проф акад Акад ген Ген полк Полк тов Тов гр Гр св Св",
     "greek": "κ Κ κκ κα δρ Δρ καθ Καθ αγ Αγ",
     "hindi": "डॉ श्री प्रो पं",
@@ -29,14 +29,14 @@ NUMBERED = {
     "german": "Nr Abb Bd Bde S Kap Tab Abs Jh Str",
     "french": "t n p pp no fig chap art",
     "spanish": "pág págs Pág núm cap fig vol",
-    "russian": "стр рис табл гл ч ст т с д",
+    "russian": "стр рис табл гл ч ст т с д кв",
     "greek": "σ σελ αρ τ",
 }
 #: The sentence always goes on.
 INNER = {
     "english": "e.g i.e cf Cf ca approx vs viz resp incl esp",
     "german": "z.B Z.B d.h D.h u.a U.a z.T z.Z u.U i.d.R v.a s.o s.u m.E sog Sog bzw Bzw vgl Vgl ca evtl ggf inkl geb gest Hrsg hrsg",
-    "french": "p.ex P.ex cf env éd",
+    "french": "p.ex P.ex cf env éd av bd boul",
     "spanish": "p.ej P.ej aprox av Av",
     "russian": "т.е т.к т.н тыс млн см См ср Ср напр",
     "greek": "π.χ δηλ βλ",
@@ -45,8 +45,8 @@ INNER = {
 ENDING = {
     "english": "etc Inc Ltd Co Corp Bros Jr Esq al ff ed eds sq km cm mm ft in oz lb hr min sec a.m p.m A.M P.M Ph.D M.D B.A M.A",
     "german": "usw usf etc m km cm Jh u.s.w",
-    "french": "etc km m av",
-    "spanish": "etc km m a.C d.C",
+    "french": "etc km m",
+    "spanish": "etc km m a.C d.C EE.UU",
     "russian": "т.д т.п др д п г гг в вв км м см руб коп",
     "greek": "κ.λπ κλπ κ.ά χλμ μ χιλ",
 }
@@ -124,7 +124,7 @@ EMOJI = r"[\p{Extended_Pictographic}\u200d\ufe0f\U0001F3FB-\U0001F3FF\U0001F1E6-
 BEHIND = rf"[{MARKS}]*[{CLOSING}{CLOSING_IF_OPENED}\[\p{{N}}\s{EMOJI[1:-1]}]*"
 BEFORE_CAPITAL = rf"\s++(?:{OPENING}++\s*+)?{CAPITAL}"
 #: One capital before a full stop.
-INITIAL = r"(?<![\p{L}\p{M}\p{N}'’])(?!I\.)\p{Lu}\."
+INITIAL = r"(?<![\p{L}\p{M}\p{N}'’°])(?!I\.)\p{Lu}\."
 
 
 def _any(words: list[str]) -> str:
@@ -175,6 +175,8 @@ TABLES: dict[str, list[tuple[bool, str, str, str]]] = {
     ],
     "german": [
         (KEEP, ".", rf"(?i:\b(?:{GERMAN_BEFORE_ORDINALS.replace(' ', '|')}))\s+\p{{N}}{{1,3}}\.", r"\s+\p{Lu}"),
+        (KEEP, ".", r"\b\p{Lu}\p{Ll}+\s[IVX]+\.", r"\s+\p{Ll}"),  # of kings and popes
+        (KEEP, ".", r"\p{Ll}str\.", r"\s*\p{N}"),  # number of a house
         (KEEP, ".", r"\b\p{N}{1,2}\.", rf"\s+(?:{MONTHS.replace(' ', '|')})\b"),
         *_abbreviations("german"),
     ],
@@ -225,7 +227,7 @@ LANGUAGES = ("english", "german", "french", "spanish")
 ABOUT_EVERY_WORD = ("first", "marks", "last")
 #: The last three letters of all abbreviations and Roman numerals: behind a word that ends otherwise, the tables of
 #: ``ABOUT_EVERY_WORD`` decide alone.
-SHORT_ENDS = {part[-3:] for kind in (TITLES, NUMBERED, INNER, ENDING) for words in kind.values() for w in words.split() for part in w.split(".")} | {
+SHORT_ENDS = {"str"} | {part[-3:] for kind in (TITLES, NUMBERED, INNER, ENDING) for words in kind.values() for w in words.split() for part in w.split(".")} | {
     a + b + c for a in "ivxIVX" for b in "ivxIVX" for c in "ivxIVX"
 }
 #: Scripts where a full stop behind any word can be no end, or whose abbreviations have three letters.

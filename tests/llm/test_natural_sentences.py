@@ -16,6 +16,14 @@ En un lugar de la Mancha, de cuyo nombre no quiero acordarme, no ha mucho tiempo
 Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.| Все смешалось в доме Облонских.| Жена узнала, что муж был в связи с бывшею в их доме француженкою-гувернанткой.| Он родился в 1828 г. в Ясной Поляне, т. е. под Тулой.| Л. Н. Толстой умер в 1910 г. |Его книги читают и т. д. |Где же он?
 道可道，非常道。|名可名，非常名。|子曰：“学而时习之，不亦说乎？有朋自远方来，不亦乐乎？”|他走了！
 吾輩は猫である。|名前はまだ無い。|どこで生れたかとんと見当がつかぬ。|「何だ？」と彼は言った。
+It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness.| There were a king with a large jaw and a queen with a plain face, on the throne of England.| It was the year of Our Lord one thousand seven hundred and seventy-five.| Mrs. Southcott had recently attained her five-and-twentieth blessed birthday.
+Alice was beginning to get very tired of sitting by her sister on the bank.| “And what is the use of a book,” thought Alice, “without pictures or conversations?”| Suddenly a White Rabbit with pink eyes ran close by her.| “Oh dear! Oh dear! I shall be late!” it said to itself.| Down, down, down.| Would the fall never come to an end?| “I wonder how many miles I’ve fallen by this time?” she said aloud.
+Dr. Jekyll lived at No. 14, St. James St., London W.C., with Mr. Poole.| On Oct. 18 he met Col. Moran at 9:30 a.m. sharp.| The meeting cost him approx. £3.50.| He wrote to J. R. R. Tolkien and C. S. Lewis.| Their firm, Smith & Sons Inc., went bankrupt in 1931.| Temperatures fell to -3.5 °C.| See Sec. 2.3, pp. 10–12, and cf. Fig. 7 below.| The E.U. and the U.K. signed it.| What happened next?| Nobody knows!
+The experiment used vitamin C. |Subjects received 5 mg. per day.| Type II errors rose (p < 0.05).| Visit www.example.org or write to a.b@example.com for more.| The file is called report.final.pdf.| He got an A. |She got a B.
+Es war einmal ein kleines süßes Mädchen, das hatte jedermann lieb.| Einmal schenkte sie ihm ein Käppchen von rotem Samt.| „Komm, Rotkäppchen“, sagte die Mutter, „da hast du ein Stück Kuchen.“| „Guten Tag, Rotkäppchen!“ sprach er.| „Wo hinaus so früh?“| Dr. med. Hans Bauer, geb. am 4. März 1901, wohnte in der Bahnhofstr. 7.| Das kostete ca. 3,50 Mark, d. h. fast nichts.| Ludwig XIV. war König von Frankreich.| Er kam am 1. Mai an.
+Aujourd’hui, maman est morte.| Ou peut-être hier, je ne sais pas.| J’ai reçu un télégramme de l’asile.| « Mère décédée. Enterrement demain. Sentiments distingués. »| Cela ne veut rien dire.| M. Dupont et Mme. Durand habitent av. Foch, à env. 3 km de Paris.| « Où allez-vous ? » demanda-t-il.| Voltaire (1694–1778), cf. t. 3, p. 22, l’a écrit.
+Muchos años después, frente al pelotón de fusilamiento, el coronel había de recordar aquella tarde.| El mundo era tan reciente que muchas cosas carecían de nombre.| —¿Quién es? —preguntó la Sra. Gómez.| —Soy yo.| Vive en la Avda. de Mayo, núm. 12, 3.º piso.| Nació el 3 de enero de 1901 en EE. UU. y murió allí.
+В начале июля, в чрезвычайно жаркое время, под вечер, один молодой человек вышел из своей каморки.| Он благополучно избегнул встречи с своею хозяйкой на лестнице.| — Кто там? — спросил он.| — Это я, — ответил А. П. Чехов.| Дом стоял на ул. Ленина, д. 5, кв. 12.| В XIX в. город вырос и т. д. |Население — 12 тыс. человек.
 """.strip().split("\n")
 
 

@@ -194,6 +194,7 @@ def test_long_blanks_and_dashes(blanks):
         "It fell. Dr. Zade kam z. B. am 3. Mai.| Vgl. Bd. 2, S. 61, zum Garten.| It rose.".replace("fell. Dr", "fell.| Dr"),
         "Zade said, “It rose.”| It began again.| “It rose!” Zade remarked.| “Now!” He cried.",
         "He said: “It fell. It rose. Did it?” | Then he left.".replace(" | ", "| "),
+        "Dr. med. Hans Metu wohnt in der Hofstr. 7.| Ludwig XIV. war König.| Es fiel auf -3.5 °C.| Es stieg.",
         "Kupo said, “It sang.”| Zade said, “It slept.”| “It fell.”| Vale wrote: “It rose.”| “It fell!” Vale cried.",
         "“It fell.| It rose.”| Then he left.| (It slept.| It woke.)| He wrote “It fell. It rose.”| Then he left.",
         'He said: "She said: “It fell. It rose.”"| Then he left.',
